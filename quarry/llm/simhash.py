@@ -8,7 +8,7 @@ pairs is given up as soon as all of them are beyond the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -105,8 +105,11 @@ def _flags(mask: np.ndarray) -> int:
     return int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
 
 
-def link_block(group: np.ndarray, bit_rows: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by group: the first row that each row's links within its group lead to."""
+def link_block(group: np.ndarray, bit_rows: np.ndarray, radius: int, verify: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """For rows sorted by group: the first row that each row's links within its group lead to.
+
+    With ``verify``, a pair within the radius links only if that is true of its two rows.
+    """
     n = len(group)
     planes = [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bit_rows.T, axis=1, bitorder="little")]
     root = np.arange(n)
@@ -127,15 +130,20 @@ def link_block(group: np.ndarray, bit_rows: np.ndarray, radius: int) -> np.ndarr
                 a = root[a]
             while root[b] != b:
                 b = root[b]
-            root[max(a, b)] = min(a, b)
+            if a != b and (verify is None or verify(int(i), int(i) + shift)):
+                root[max(a, b)] = min(a, b)
         while (root[root] != root).any():
             root = root[root]
     return root
 
 
-def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between rows (rep long, fp binary) with distinct fingerprints that meet under a key
-    and differ in at most ``radius`` bits; enough of them to connect what all such links connect."""
+def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scratch: Scratch, verify: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """(a, b): links between rows (rep long, fp binary) that meet under a key and differ in at most
+    ``radius`` bits; enough of them to connect what all such links connect.
+
+    With ``verify``, rows also have a ``payload`` string, and a link needs it to be true of both payloads.
+    """
+    extra, kind = (["payload"], ", payload string") if verify else ([], "")
 
     def key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +153,7 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
             for number, places in enumerate(keys):
                 weights = np.left_shift(np.int64(1), np.arange(len(places), dtype=np.int64))
                 key = rows[:, places].astype(np.float64) @ weights  # exact below 2**53
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64) + (number << 48)), batch.column("rep"), batch.column("fp")], names=["key", "rep", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64) + (number << 48)), *(batch.column(c) for c in ("rep", "fp", *extra))], names=["key", "rep", "fp", *extra])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -156,7 +164,8 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
             for c in columns:
                 new[1:] |= c[1:] != c[:-1]
             rep = table.column("rep").to_numpy()
-            root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius)
+            values = table.column("payload") if verify else None
+            root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius, verify and (lambda i, j: verify(values[i].as_py(), values[j].as_py())))
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["a", "b"])
 
@@ -177,11 +186,11 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
         if held:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    keyed = scratch.keep(map_batches(prints.select("rep", "fp"), key_rows, "key long, rep long, fp binary"), "keyed")
+    keyed = scratch.keep(map_batches(prints.select("rep", "fp", *extra), key_rows, f"key long, rep long, fp binary{kind}"), "keyed" + "_verified" * bool(verify))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cells = join_groups(keyed, buckets, "key", "n", F.xxhash64("rep")).withColumn("cuts", F.ceil(F.col("n") / CHUNK).cast("int"))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "fp")
+    cells = cells.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "fp", *extra)
     spread = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
     return map_batches(spread, compare, "a long, b long")
 
