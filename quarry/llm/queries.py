@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import encode_digests
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.line_dedup import drop_lines
 from quarry.llm.simhash import simhash_dedup
 from quarry.storage import table
 
@@ -34,7 +35,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_decontamination, op8_simhash_near_dedup, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_decontamination, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
