@@ -100,3 +100,11 @@ def may_be_in(filter_row: DataFrame, column: Column) -> Column:
     place = F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 64))
     word = F.get(filter_row.scalar(), (place / 64).cast("int"))
     return F.call_function("shiftrightunsigned", word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """``rows`` whose key is not among ``gone``; only rows that may be are shuffled. Null matches null."""
+    may = may_be_in(key_filter(gone, gone_key), rows[key])
+    listed = gone.select(F.col(gone_key).alias("_gone")).distinct()
+    checked = rows.where(may).join(listed, rows[key].eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.where(~may).unionByName(checked)
