@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -143,7 +144,12 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
     Null and empty texts give no ids and an empty decoded text. Repeated rows each give
     their row; an empty table gives none; other columns are ignored.
     """
-    return _mapped(docs, definition, id_col, text_col, "ids array<int>, decoded string", lambda ids, decoded: [pa.array([[int(i) for i in x.split(",") if i] for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.binary()).cast(pa.string())], ["ids", "decoded"])
+    def columns(ids: list[str], decoded: list[bytes]) -> list[pa.Array]:
+        values = [np.fromstring(x, np.int32, sep=",") for x in ids]
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values))), pa.array(decoded, pa.binary()).cast(pa.string())]
+
+    return _mapped(docs, definition, id_col, text_col, "ids array<int>, decoded string", columns, ["ids", "decoded"])
 
 
 def encode_digests(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,15 +18,16 @@ def _star(pairs: DataFrame, both: bool) -> DataFrame:
     return links.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is its least node.
 
     Alternating large and small stars: each round sends a node's larger neighbours,
     then its smaller ones, to its least neighbour, until every component is a star.
     Rounds grow with the logarithm of the longest path; hubs are joined in slices.
+    ``name`` names the intermediates.
     Self-links and repeats are allowed; no edges give no rows.
     """
-    now = scratch.keep(edges.where("a != b").select("a", "b").distinct(), "edges0")
+    now = scratch.keep(edges.where("a != b").select("a", "b").distinct(), f"{name}0")
     mark, turn = None, 0
     while True:
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -36,6 +37,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         ways = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
         large = _star(ways.unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v"))), True).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = scratch.keep(_star(down, False).where("a != b").distinct(), f"edges{turn}")
-        scratch.drop(f"edges{turn - 1}")
+        now = scratch.keep(_star(down, False).where("a != b").distinct(), f"{name}{turn}")
+        scratch.drop(f"{name}{turn - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

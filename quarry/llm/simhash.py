@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quarry.llm.batches import map_batches, pieces
 from quarry.llm.components import components
 from quarry.llm.hashing import mix
-from quarry.storage import Scratch, join_groups
+from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 
 SEED = 42
 #: Fingerprints of one bucket compared by one task at most: larger buckets are cut into chunks, and each pair of chunks is a task's.
@@ -51,14 +51,19 @@ def fingerprint(text: bytes, words: int = 4, bits: int = 64) -> tuple[bytes, int
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(id, fp binary, size) of every row; null text has no words."""
+    """(id, tag, fp binary, size) of every row: tag hashes the text, size counts shingles. Null text has no words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
             made = [fingerprint(t, words, bits) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], names=["id", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], names=["id", "tag", "fp", "size"])
 
-    return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), run, "id long, fp binary, size long")
+    return map_batches(_rows(docs, id_col, text_col), run, "id long, tag long, fp binary, size long")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def pigeonhole(bits: int, radius: int, kept: int = 2) -> list[np.ndarray]:
@@ -137,15 +142,11 @@ def link_block(group: np.ndarray, bit_rows: np.ndarray, radius: int, verify: Cal
     return root
 
 
-def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scratch: Scratch, verify: Callable[[str, str], bool] | None = None) -> DataFrame:
-    """(a, b): links between rows (rep long, fp binary) that meet under a key and differ in at most
-    ``radius`` bits; enough of them to connect what all such links connect.
+def under_keys(prints: DataFrame, keys: list[np.ndarray], bits: int) -> DataFrame:
+    """(key, rep, fp) and any payload: each row of ``prints`` once for every key."""
+    extra = [c for c in prints.columns if c == "payload"]
 
-    With ``verify``, rows also have a ``payload`` string, and a link needs it to be true of both payloads.
-    """
-    extra, kind = (["payload"], ", payload string") if verify else ([], "")
-
-    def key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -155,6 +156,18 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
                 key = rows[:, places].astype(np.float64) @ weights  # exact below 2**53
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64) + (number << 48)), *(batch.column(c) for c in ("rep", "fp", *extra))], names=["key", "rep", "fp", *extra])
 
+    return map_batches(prints.select("rep", "fp", *extra), run, "key long, rep long, fp binary" + ", payload string" * bool(extra))
+
+
+def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], object] | None = None, verify: Callable[[object, object], bool] | None = None) -> DataFrame:
+    """(a, b): links between rows (key, rep long, fp binary) that meet under a key and differ in at most
+    ``radius`` bits; enough of them to connect what all such links connect.
+
+    With ``verify``, rows also have a ``payload`` string, and a link needs it to be true of
+    what ``prepare`` makes of both payloads. ``keyed`` is read twice.
+    """
+    extra = ["payload"] if verify else []
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -164,8 +177,14 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
             for c in columns:
                 new[1:] |= c[1:] != c[:-1]
             rep = table.column("rep").to_numpy()
-            values = table.column("payload") if verify else None
-            root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius, verify and (lambda i, j: verify(values[i].as_py(), values[j].as_py())))
+            values, made = table.column("payload") if verify else None, {}
+
+            def value(i: int) -> object:
+                if i not in made:
+                    made[i] = prepare(values[i].as_py())
+                return made[i]
+
+            root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius, verify and (lambda i, j: verify(value(i), value(j))))
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["a", "b"])
 
@@ -186,7 +205,6 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
         if held:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    keyed = scratch.keep(map_batches(prints.select("rep", "fp", *extra), key_rows, f"key long, rep long, fp binary{kind}"), "keyed" + "_verified" * bool(verify))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cells = join_groups(keyed, buckets, "key", "n", F.xxhash64("rep")).withColumn("cuts", F.ceil(F.col("n") / CHUNK).cast("int"))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -195,13 +213,15 @@ def links(prints: DataFrame, keys: list[np.ndarray], bits: int, radius: int, scr
     return map_batches(spread, compare, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, radius: int = 4, keys: list[np.ndarray] | None = None, least_shingles: int = 0) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, radius: int = 4, keys: list[np.ndarray] | None = None, least_shingles: int = 0, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (hex), component_id.
 
     Fingerprints link at ``radius`` or fewer differing bits if they agree on one of ``keys``;
     the default keys find every such pair. component_id is the smallest id that links reach
     from the row, its own included. Texts of under ``least_shingles`` shingles link only to
-    equal fingerprints.
+    equal fingerprints. With ``similarity``, a link also needs the sets of shingles to be
+    that similar (Jaccard): groups by distance alone are taken first, and pairs inside
+    them are verified on the texts until all that pass are connected.
 
     Null and empty texts have no words; their fingerprint is zero and links like any other.
     Equal texts share a fingerprint, so copies and repeated rows cost one comparison. Rows
@@ -210,10 +230,22 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col, words, bits), "prints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("size").alias("size")), "distinct")
-    edges = links(distinct.where(F.col("rep").isNotNull() & (F.col("size") >= least_shingles)), keys or pigeonhole(bits, radius), bits, radius, scratch)
-    found = components(edges, scratch)
+    distinct = prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"))
+    distinct = scratch.keep(distinct.select("fp", F.col("at.id").alias("rep"), F.col("at.tag").alias("tag"), "n", "size"), "distinct")
+    linked = distinct.where(F.col("rep").isNotNull() & (F.col("size") >= least_shingles))
+    keyed = scratch.keep(under_keys(linked, keys or pigeonhole(bits, radius), bits), "keyed")
+    found = components(links(keyed, bits, radius), scratch, "near")
     scratch.drop("keyed")
+    if similarity is not None:
+        nodes = scratch.keep(found.join(distinct, found["node"] == distinct["rep"]).select(F.col("component").alias("key"), "rep", "fp", "tag"), "nodes")
+        source = _rows(docs, id_col, text_col)
+        source = source.where(may_be_in(key_filter(nodes, "rep"), F.col("id"))).dropDuplicates(["id", "tag"])
+        texts = nodes.join(source, (nodes["rep"] == source["id"]) & (nodes["tag"].eqNullSafe(source["tag"])))
+        keyed = scratch.keep(texts.select("key", "rep", "fp", F.coalesce("text", F.lit("")).alias("payload")), "texts")
+        prepare = lambda text: frozenset(map(xxhash.xxh64_intdigest, shingles(text.encode(), words), repeat(SEED)))
+        verify = lambda a, b: len(a & b) >= similarity * len(a | b)
+        found = components(links(keyed, bits, radius, prepare, verify), scratch, "verified")
+        scratch.drop("texts")
     reached = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     result = join_groups(prints, reached, "fp", "n", F.xxhash64("id"))
     return result.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

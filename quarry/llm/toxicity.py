@@ -401,3 +401,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     scored = map_batches(rows, run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores under ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vote = shared.value.voter()
+        for batch, texts in pieces(batches, text_col):
+            yield batch.filter(pa.array([shared.value.score(t, vote) < threshold for t in texts], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
