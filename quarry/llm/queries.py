@@ -15,6 +15,7 @@ from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import drop_lines
 from quarry.llm.simhash import simhash_dedup
+from quarry.llm.urls import judge_urls
 from quarry.storage import table
 
 
@@ -23,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), definition)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -46,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_decontamination, op6_toxicity, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_url_filters, op4_decontamination, op6_toxicity, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
