@@ -14,6 +14,7 @@ from quarry.llm.bpe import encode_digests
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import drop_lines
+from quarry.llm.secrets import scan_report
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.urls import judge_urls
 from quarry.storage import table
@@ -33,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_url_filters, op4_decontamination, op6_toxicity, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_url_filters, op4_decontamination, op5_secret_scan, op6_toxicity, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
