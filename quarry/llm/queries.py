@@ -18,9 +18,14 @@ from quarry.llm.secrets import scan_report
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.substrings import remove_repeats
 from quarry.llm.urls import judge_urls
+from quarry.llm.warc import round_trip
 from quarry.storage import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
     return encode_digests(table(spark, sf_dir, "documents"), definition)
@@ -62,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_url_filters, op4_decontamination, op5_secret_scan, op6_toxicity, op7_substring_dedup, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_bpe, op3_url_filters, op4_decontamination, op5_secret_scan, op6_toxicity, op7_substring_dedup, op8_simhash_near_dedup, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
