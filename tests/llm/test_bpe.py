@@ -24,8 +24,10 @@ def vocabulary():
 def texts():
     random.seed(7)
     symbols = [chr(c) for c in range(32, 127)] * 2 + list("éüñßçàœ—…“”  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 中文日本🙂👍🏽ا½²")
+    symbols += [chr(c) for c in range(0x80, 0x260)]
     symbols += [chr(int(run.split("-")[0], 16)) for run in LATE.split()]
     out = ["".join(random.choices(symbols, k=random.randint(0, 50))) for _ in range(1500)]
+    out += ["".join(random.choices([s for s in symbols if ord(s) < 0x250], k=random.randint(0, 50))) for _ in range(1500)]
     out += ["=" * 300 + " " * 77 + "a" * 500, "It's we'll they'd I'M", "<|endoftext|>", "x <|endoftext|> <|endoftext|><|endoftext|", "", "\0a\0", "word " * 30_000]
     return out
 
@@ -59,3 +61,15 @@ def test_query_columns(spark, library):
     for i, t in rows[:50]:
         assert list(full[i].ids) == library.encode(t, add_special_tokens=False).ids and full[i].decoded == t
     assert encode(docs.limit(0), definition).count() == 0
+
+
+def test_neighbours_stay_apart_as_merging_says(vocabulary):
+    random.seed(3)
+    tokens = list(vocabulary.bytes_of)[:50_000]
+    common = tokens[:600] + [vocabulary.ids[b"a" * n] for n in (1, 2, 4) if b"a" * n in vocabulary.ids] + [i for b, i in vocabulary.ids.items() if len(set(b)) == 1]
+    pairs = [tuple(random.choices(common, k=2)) for _ in range(20_000)] + [tuple(random.choices(tokens, k=2)) for _ in range(10_000)]
+    pairs += [(a, b) for a in common[-60:] for b in common[-60:]]
+    for left, right in pairs:
+        if right == 50256 or left == 50256:
+            continue
+        assert vocabulary.stay_apart(left, right) == (vocabulary.merge(vocabulary.bytes_of[left] + vocabulary.bytes_of[right]) == [left, right])
