@@ -141,7 +141,7 @@ def bottom_lines(c: Column, n: int) -> Column:
 
 
 def _lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def contains_loosely(haystack: Column, needle: str) -> Column:
