@@ -25,6 +25,8 @@ from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 SEED = 42
 #: Fingerprints of one bucket compared by one task at most: larger buckets are cut into chunks, and each pair of chunks is a task's.
 CHUNK = 4096
+#: The same where a whole group by distance is verified; its rows link up early.
+GROUP_CHUNK = 8 * CHUNK
 
 
 def shingles(text: bytes, words: int) -> Iterator[bytes]:
@@ -159,13 +161,15 @@ def under_keys(prints: DataFrame, keys: list[np.ndarray], bits: int) -> DataFram
     return map_batches(prints.select("rep", "fp", *extra), run, "key long, rep long, fp binary" + ", payload string" * bool(extra))
 
 
-def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], object] | None = None, verify: Callable[[object, object], bool] | None = None) -> DataFrame:
+def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], object] | None = None, verify: Callable[[object, object], bool] | None = None, chunk: int | None = None) -> DataFrame:
     """(a, b): links between rows (key, rep long, fp binary) that meet under a key and differ in at most
     ``radius`` bits; enough of them to connect what all such links connect.
 
     With ``verify``, rows also have a ``payload`` string, and a link needs it to be true of
-    what ``prepare`` makes of both payloads. ``keyed`` is read twice.
+    what ``prepare`` makes of both payloads. ``keyed`` is read twice. Keys with over
+    ``chunk`` rows are cut.
     """
+    chunk = chunk or CHUNK
     extra = ["payload"] if verify else []
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +210,7 @@ def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], obj
             yield done(pa.Table.from_batches(held).combine_chunks())
 
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = join_groups(keyed, buckets, "key", "n", F.xxhash64("rep")).withColumn("cuts", F.ceil(F.col("n") / CHUNK).cast("int"))
+    cells = join_groups(keyed, buckets, "key", "n", F.xxhash64("rep")).withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = cells.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "fp", *extra)
     spread = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
@@ -244,7 +248,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         keyed = scratch.keep(texts.select("key", "rep", "fp", F.coalesce("text", F.lit("")).alias("payload")), "texts")
         prepare = lambda text: frozenset(map(xxhash.xxh64_intdigest, shingles(text.encode(), words), repeat(SEED)))
         verify = lambda a, b: len(a & b) >= similarity * len(a | b)
-        found = components(links(keyed, bits, radius, prepare, verify), scratch, "verified")
+        found = components(links(keyed, bits, radius, prepare, verify, GROUP_CHUNK), scratch, "verified")
         scratch.drop("texts")
     reached = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     result = join_groups(prints, reached, "fp", "n", F.xxhash64("id"))
