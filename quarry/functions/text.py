@@ -172,3 +172,71 @@ def process_number(path: Column) -> Column:
 def strip_nul(c: Column) -> Column:
     """What databases and JSON don't take: the NUL character."""
     return F.regexp_replace(c, r"\x00", "")
+
+
+#: Short words that stand on their own in Portuguese titles.
+CONNECTORS = ["A", "AO", "AS", "DA", "DAS", "DE", "DO", "DOS", "E", "EM", "NA", "NO", "O", "OS", "POR", "COM"]
+
+
+def merge_runs(c: Column, joins, least_tokens: int, least_letters: int) -> Column:
+    """Runs of tokens for which ``joins(token)`` holds become one, if they have enough tokens and letters. A fold over the tokens."""
+    empty = F.array().cast("array<string>")
+
+    def flushed(acc: Column) -> Column:
+        run = acc["run"]
+        enough = (F.size(run) >= least_tokens) & (F.length(F.array_join(run, "")) >= least_letters)
+        return F.concat(acc["done"], F.when(enough, F.array(F.array_join(run, ""))).otherwise(run))
+
+    def step(acc: Column, token: Column) -> Column:
+        part = joins(token)
+        run = F.when(part, F.concat(acc["run"], F.array(token))).otherwise(empty)
+        done = F.when(part, acc["done"]).otherwise(F.concat(flushed(acc), F.array(token)))
+        return F.struct(run.alias("run"), done.alias("done"))
+
+    start = F.struct(empty.alias("run"), empty.alias("done"))
+    return F.array_join(F.aggregate(tokens(c), start, step, flushed), " ")
+
+
+def fix_uppercase_split_tokens(c: Column) -> Column:
+    """"DI RE TOR" becomes "DIRETOR": capitals of up to three letters, connectors left out."""
+    return merge_runs(c, lambda x: x.rlike(r"^\p{Lu}{1,3}$") & ~x.isin(*CONNECTORS), 2, 4)
+
+
+def fix_uppercase_token_runs(c: Column) -> Column:
+    """Three short capitals or more in a row, connectors or not, become one."""
+    return merge_runs(c, lambda x: x.rlike(r"^\p{Lu}{1,3}$"), 3, 3)
+
+
+def fix_uppercase_glue(c: Column) -> Column:
+    """Splits a connector glued between capitals, in mostly capital text of two blanks at most."""
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace(c, r"[^\p{Lu}]", ""))
+    blanks = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    split = F.regexp_replace(c, r"(?<=\p{Lu}{4})(DOS|DAS|DO|DA|DE)(?=\p{Lu}{4})", " $1 ")
+    return F.when((letters > 0) & (capitals >= 0.8 * letters) & (blanks <= 2), split).otherwise(c)
+
+
+def fix_line_break_splits(c: Column) -> Column:
+    """A word cut by a hyphen at the end of a line is joined."""
+    return F.regexp_replace(c, r"(\p{L})-[ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
+
+
+def fix_split_words(c: Column, stop_words: list[str]) -> Column:
+    """Lower-case fragments of one or two letters that are no stop words join the word before them."""
+    empty = F.array().cast("array<string>")
+
+    def step(acc: Column, token: Column) -> Column:
+        n = F.size(acc)
+        joins = token.rlike(r"^\p{Ll}{1,2}$") & ~token.isin(*stop_words) & (n > 0) & F.coalesce(F.get(acc, n - 1).rlike(r"\p{L}$"), F.lit(False))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(acc, n - 1), token)))).otherwise(F.concat(acc, F.array(token)))
+
+    return F.array_join(F.aggregate(tokens(c), empty, step), " ")
+
+
+def normalize_pattern_text(c: Column) -> Column:
+    """The repairs in their order: blanks, spaced letters, runs of capitals, cut lines."""
+    return normalize_whitespace(fix_uppercase_token_runs(collapse_spaced_letters(fix_missing_spaces(fix_line_break_splits(c)))))
+
+
+def normalize_full_text(c: Column) -> Column:
+    return normalize_whitespace(fix_title_glue(fix_uppercase_glue(fix_uppercase_split_tokens(normalize_pattern_text(c)))))

@@ -131,3 +131,14 @@ def token_diff(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
     kind = pairs.schema[key].dataType.simpleString()
     return pairs.select(key, a, b).mapInPandas(run, f"key {kind}, n int, op string, text string")
+
+
+def chains(points: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
+    """(group, a, b, score): the points of each group's best chain."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        best = best_chain([(int(x), int(y), float(s)) for x, y, s in zip(rows[a], rows[b], rows[score])])
+        return pd.DataFrame([(rows[group].iloc[0], *p) for p in best], columns=["g", "a", "b", "s"])
+
+    kind = points.schema[group].dataType.simpleString()
+    return points.groupBy(group).applyInPandas(run, f"g {kind}, a long, b long, s double").toDF(group, a, b, score)

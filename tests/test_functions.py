@@ -59,6 +59,12 @@ def test_recency_shapes_and_hamming(spark):
         (t.process_number, "/x/12 ab-3.pdf", "123"),
         (t.process_number, "/x/ab.pdf", None),
         (t.strip_nul, "a\0b", "ab"),
+        (t.fix_uppercase_split_tokens, "o DI RE TOR DE AB", "o DIRETOR DE AB"),
+        (t.fix_uppercase_token_runs, "A B C x AB CD", "ABC x AB CD"),
+        (t.fix_uppercase_glue, "CONSELHODAMAGISTRATURA", "CONSELHO DA MAGISTRATURA"),
+        (t.fix_uppercase_glue, "Conselhodamagistratura", "Conselhodamagistratura"),
+        (t.fix_line_break_splits, "magis-\n tratura e-mail", "magistratura e-mail"),
+        (t.normalize_full_text, " d i r e t o r  foi,aqui ", "diretor foi, aqui"),
     ],
 )
 def test_text(spark, function, text, want):
@@ -74,3 +80,4 @@ def test_text_with_parameters(spark):
     assert one(spark, lambda C: t.wildcard(C, "ab*d"), "ABcÉd") and not one(spark, lambda C: t.wildcard(C, "ab*d"), "xabd")
     assert one(spark, lambda C: F.regexp_extract(C, t.template_regex("fee of {{value}} due"), 1), "a fee  of 12 due") == "12"
     assert one(spark, lambda C: v.format_money(C), Decimal("1234.50"), "decimal(18,2)") == "R$ 1.234,50"
+    assert one(spark, lambda C: t.fix_split_words(C, ["de"]), "carr o de casa e x") == "carro de casae" + "x"
