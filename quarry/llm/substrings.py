@@ -32,6 +32,8 @@ GRAM = 20
 SIEVE_BITS = 27
 #: Bytes of text whose triggers one bucket of the sieve holds, about.
 BUCKET_BYTES = 8 << 20
+#: Bytes of a trigger's hash that the sieve is made from.
+SHORT = 5
 #: Bytes handled at a time; longer texts are cut, with an overlap of one string.
 PIECE = 1 << 20
 
@@ -96,6 +98,19 @@ def cut(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[np.nda
         yield done()
 
 
+def phrases_of(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per phrase of a piece: the hash of its trigger, its first and its last string start."""
+    values = gram_values(data)
+    at = triggers(values, starts, length)
+    new = np.flatnonzero(np.diff(at, prepend=-1) | (np.diff(starts, prepend=-2) != 1))
+    return values[at[new]], starts[new], starts[np.append(new[1:], len(starts)) - 1]
+
+
+def _in_sieve(sieve: np.ndarray, hashes: np.ndarray, shift: np.uint64, bits: int) -> np.ndarray:
+    bit = ((hashes >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)
+    return sieve[(hashes >> shift).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes).
 
@@ -123,23 +138,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             both = np.unique(np.stack([values[at], row_of[at].astype(np.uint64)], axis=1), axis=0)[:, 0]
             bounds = np.searchsorted(both >> shift, np.arange(buckets + 1, dtype=np.uint64))
             used = np.flatnonzero(bounds[1:] > bounds[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([both[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "hashes"])
+            # The first 40 bits will do for a sieve.
+            short = both.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([short[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "hashes"])
 
     bits = (1 << SIEVE_BITS) // buckets
 
     def share(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64).copy()
+        short = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, SHORT)
+        whole = np.zeros((len(short), 8), np.uint8)
+        whole[:, :SHORT] = short
+        hashes = whole.view(">u8").ravel().astype(np.uint64)
         hashes.sort()
         again = hashes[1:][hashes[1:] == hashes[:-1]]
         flags = np.zeros(max(8, bits), bool)
         flags[((again >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)] = True
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    counted = scratch.keep(map_batches(long_rows.select("text"), count_triggers, "bucket long, hashes binary"), "triggers")
+    counted = map_batches(long_rows.select("text"), count_triggers, "bucket long, hashes binary")
     sieve = np.zeros((buckets, max(8, bits) // 8), np.uint8)
     for r in counted.groupBy("bucket").applyInArrow(share, "bucket long, flags binary").toLocalIterator():  # SIEVE_BITS in all
         sieve[r.bucket] = np.frombuffer(r.flags, np.uint8)
-    scratch.drop("triggers")
     shared = spark.sparkContext.broadcast(sieve)
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,30 +171,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         may = shared.value
         for data, starts, row_of, place in cut(watched(), length):
-            values = gram_values(data)
-            at = triggers(values, starts, length)
-            new = np.flatnonzero(np.diff(at, prepend=-1) | (np.diff(starts, prepend=-2) != 1))
-            trigger, first, last = at[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
-            h = values[trigger]
-            bit = ((h >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)
-            keep = np.flatnonzero(may[(h >> shift).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+            h, first, last = phrases_of(data, starts, length)
+            keep = np.flatnonzero(_in_sieve(may, h, shift, bits))
             if len(keep):
                 whole = data.tobytes()
-                phrases = [whole[a : b + length] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
+                names = [xxhash.xxh3_128_digest(whole[a : b + length]) for a, b in zip(first[keep].tolist(), last[keep].tolist())]
                 owner = row_of[first[keep]]
                 ids = np.concatenate([b.column("id").to_numpy() for b in seen])
                 tags = np.concatenate([b.column("tag").to_numpy() for b in seen])
                 base = np.cumsum([0] + [b.num_rows for b in seen])
                 number = base[owner >> 32] + (owner & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[number]), pa.array(tags[number]), pa.array(place[first[keep]]), pa.array(h[keep].view(np.int64)), pa.array(list(map(xxhash.xxh3_128_digest, phrases)), pa.binary()), pa.array(phrases, pa.binary())],
-                    names=["id", "tag", "at", "trigger", "name", "phrase"],
-                )
+                columns = [pa.array(ids[number]), pa.array(tags[number]), pa.array(place[first[keep]]), pa.array((last - first + 1)[keep]), pa.array(h[keep].view(np.int64)), pa.array(names, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "at", "strings", "trigger", "name"])
 
-    parsed = scratch.keep(map_batches(long_rows, parse, "id long, tag long, at long, trigger long, name binary, phrase binary"), "parsed")
-    dictionary = parsed.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("trigger").alias("trigger"), F.min("phrase").alias("phrase"))
+    parsed = scratch.keep(map_batches(long_rows, parse, "id long, tag long, at long, strings long, trigger long, name binary"), "parsed")
+    dictionary = parsed.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("trigger").alias("trigger"))
     dictionary = scratch.keep(dictionary, "dictionary")
 
+    # Only triggers of several phrases need the phrases themselves: a second sieve, and a second pass.
+    several = scratch.keep(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1").select("trigger"), "several")
+    place = F.call_function("shiftrightunsigned", F.col("trigger"), F.lit(64 - SIEVE_BITS))
+    slots = several.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("b"))
+    second = np.zeros(1 << SIEVE_BITS - 6, np.int64)
+    for r in slots.toLocalIterator():  # SIEVE_BITS in all
+        second[r.w] = r.b
+    again = spark.sparkContext.broadcast(second.view(np.uint8))
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = again.value
+        for data, starts, _, _ in cut(batches, length):
+            h, first, last = phrases_of(data, starts, length)
+            bit = (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+            keep = np.flatnonzero(may[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            if len(keep):
+                whole = data.tobytes()
+                found = {}
+                for a, b in zip(first[keep].tolist(), last[keep].tolist()):
+                    phrase = whole[a : b + length]
+                    found[xxhash.xxh3_128_digest(phrase)] = phrase
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["name", "phrase"])
+
+    spelt = map_batches(long_rows.select("text"), spell, "name binary, phrase binary").groupBy("name").agg(F.min("phrase").alias("phrase"))
+    spelt = dictionary.join(several, "trigger", "left_semi").join(spelt, "name")
+
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by trigger. inner: bits of the strings that a smaller document has in another phrase."""
         held: list[pa.RecordBatch] = []
@@ -216,13 +254,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    ordered = dictionary.select("trigger", "name", "least", "phrase").repartition("trigger").sortWithinPartitions("trigger")
+    ordered = spelt.select("trigger", "name", "least", "phrase").repartition("trigger").sortWithinPartitions("trigger")
     inner = map_batches(ordered, order, "name binary, inner long")
     known = dictionary.select("name", "least", "n").join(inner, "name", "left").where("n > 1 or inner is not null")
     known = scratch.keep(known.withColumn("inner", F.coalesce("inner", F.lit(0).cast("long"))), "known")
-    scratch.drop("dictionary")
+    scratch.drop("dictionary", "several")
 
-    found = parsed.select("id", "tag", "at", "name", (F.length("phrase") - length + 1).alias("strings"))
+    found = parsed.select("id", "tag", "at", "name", "strings")
     found = join_groups(found.where(may_be_in(key_filter(known, "name"), F.col("name"))), known, "name", "n", F.xxhash64("tag", "at"))
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("strings").cast("int")) - 1
     hit = found.select("id", "tag", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("inner")).alias("hit")).where("hit != 0")
