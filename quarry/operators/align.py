@@ -1,7 +1,7 @@
 """Alignment of two block sequences: weighted chains, global alignment, token diffs.
 
-Grouped Arrow functions: a dynamic program over the blocks of one pair of documents,
-whose size the pair bounds. Pairs spread over the cluster by key.
+A pair of documents is one row that holds its blocks, so its own size bounds the dynamic
+program's memory; pairs spread over the cluster by key and come to Python in batches.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 GAP = -0.35
 
@@ -100,18 +101,20 @@ def align_documents(pairs: DataFrame, pair: str, side: str, order: str, text: st
     that only the other side has.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: rows[rows[side] == s].sort_values(order) for s in ("a", "b")}
-        blocks = {s: list(r[text].fillna("")) for s, r in sides.items()}
-        places = {s: [int(x) for x in r[order]] for s, r in sides.items()}
-        out = []
-        for n, (i, j, s) in enumerate(align(blocks["a"], blocks["b"], least)):
-            kind = "gap_a" if i < 0 else "gap_b" if j < 0 else "fixed" if blocks["a"][i] == blocks["b"][j] else "variable"
-            out.append((rows[pair].iloc[0], n, kind, places["a"][i] if i >= 0 else None, places["b"][j] if j >= 0 else None, round(s, 6)))
-        return pd.DataFrame(out, columns=["pair", "step", "kind", "a_order", "b_order", "score"]).astype({"a_order": "Int64", "b_order": "Int64"})
+    def run(batches):
+        for rows in batches:
+            out = []
+            for key, held in zip(rows["pair"], rows["blocks"]):
+                sides = {s: sorted((int(h["n"]), h["t"] or "") for h in held if h["s"] == s) for s in ("a", "b")}
+                a, b = ([t for _, t in sides[s]] for s in ("a", "b"))
+                for n, (i, j, score) in enumerate(align(a, b, least)):
+                    kind = "gap_a" if i < 0 else "gap_b" if j < 0 else "fixed" if a[i] == b[j] else "variable"
+                    out.append((key, n, kind, sides["a"][i][0] if i >= 0 else None, sides["b"][j][0] if j >= 0 else None, round(score, 6)))
+            yield pd.DataFrame(out, columns=["pair", "step", "kind", "a_order", "b_order", "score"]).astype({"a_order": "Int64", "b_order": "Int64"})
 
     kind = pairs.schema[pair].dataType.simpleString()
-    return pairs.groupBy(pair).applyInPandas(run, f"pair {kind}, step int, kind string, a_order long, b_order long, score double")
+    held = pairs.groupBy(F.col(pair).alias("pair")).agg(F.collect_list(F.struct(F.col(side).alias("s"), F.col(order).alias("n"), F.col(text).alias("t"))).alias("blocks"))
+    return held.mapInPandas(run, f"pair {kind}, step int, kind string, a_order long, b_order long, score double")
 
 
 def token_diff(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -136,9 +139,11 @@ def token_diff(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def chains(points: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
     """(group, a, b, score): the points of each group's best chain."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        best = best_chain([(int(x), int(y), float(s)) for x, y, s in zip(rows[a], rows[b], rows[score])])
-        return pd.DataFrame([(rows[group].iloc[0], *p) for p in best], columns=["g", "a", "b", "s"])
+    def run(batches):
+        for rows in batches:
+            out = [(key, *p) for key, held in zip(rows["g"], rows["points"]) for p in best_chain([(int(h["a"]), int(h["b"]), float(h["s"])) for h in held])]
+            yield pd.DataFrame(out, columns=["g", "a", "b", "s"])
 
     kind = points.schema[group].dataType.simpleString()
-    return points.groupBy(group).applyInPandas(run, f"g {kind}, a long, b long, s double").toDF(group, a, b, score)
+    held = points.groupBy(F.col(group).alias("g")).agg(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("s"))).alias("points"))
+    return held.mapInPandas(run, f"g {kind}, a long, b long, s double").toDF(group, a, b, score)
