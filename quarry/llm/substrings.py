@@ -27,7 +27,8 @@ from quarry.llm.batches import map_batches, texts
 from quarry.llm.hashing import BASE, _powers, mix
 from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 
-GRAM = 20
+#: Long enough that texts seldom share a gram by chance, short enough for few triggers.
+GRAM = 28
 #: Bits of the set of shared triggers: 16 MB, whatever the corpus.
 SIEVE_BITS = 27
 #: Bytes of text whose triggers one bucket of the sieve holds, about.
@@ -45,12 +46,12 @@ def gram_values(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     symbols = mix(np.arange(1, 257, dtype=np.uint64))[data]
     steps = _powers(BASE, GRAM + 1)
-    # By doubling: 2 bytes, 4, 8, 16, and the last 4.
+    # By doubling: 2 bytes, 4, 8, 16, and then the 8 and 4 that are left.
     two = symbols[:-1] * steps[1] + symbols[1:]
     four = two[:-2] * steps[2] + two[2:]
     eight = four[:-4] * steps[4] + four[4:]
     sixteen = eight[:-8] * steps[8] + eight[8:]
-    return mix(sixteen[:n] * steps[4] + four[16 : 16 + n])
+    return mix((sixteen[:n] * steps[8] + eight[16 : 16 + n]) * steps[4] + four[24 : 24 + n])
 
 
 def triggers(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -175,17 +176,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = np.flatnonzero(_in_sieve(may, h, shift, bits))
             if len(keep):
                 whole = data.tobytes()
-                names = [xxhash.xxh3_128_digest(whole[a : b + length]) for a, b in zip(first[keep].tolist(), last[keep].tolist())]
+                names = np.array([xxhash.xxh3_64_intdigest(whole[a : b + length]) for a, b in zip(first[keep].tolist(), last[keep].tolist())], np.uint64)
                 owner = row_of[first[keep]]
                 ids = np.concatenate([b.column("id").to_numpy() for b in seen])
                 tags = np.concatenate([b.column("tag").to_numpy() for b in seen])
                 base = np.cumsum([0] + [b.num_rows for b in seen])
                 number = base[owner >> 32] + (owner & 0xFFFFFFFF)
-                columns = [pa.array(ids[number]), pa.array(tags[number]), pa.array(place[first[keep]]), pa.array((last - first + 1)[keep]), pa.array(h[keep].view(np.int64)), pa.array(names, pa.binary())]
+                columns = [pa.array(ids[number]), pa.array(tags[number]), pa.array(place[first[keep]]), pa.array((last - first + 1)[keep]), pa.array(h[keep].view(np.int64)), pa.array(names.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "at", "strings", "trigger", "name"])
 
-    parsed = scratch.keep(map_batches(long_rows, parse, "id long, tag long, at long, strings long, trigger long, name binary"), "parsed")
-    dictionary = parsed.groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("trigger").alias("trigger"))
+    parsed = scratch.keep(map_batches(long_rows, parse, "id long, tag long, at long, strings long, trigger long, name long"), "parsed")
+    # A phrase goes by the 64-bit hashes of its trigger and of all its bytes.
+    dictionary = parsed.groupBy("trigger", "name").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     dictionary = scratch.keep(dictionary, "dictionary")
 
     # Only triggers of several phrases need the phrases themselves: a second sieve, and a second pass.
@@ -206,13 +208,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(keep):
                 whole = data.tobytes()
                 found = {}
-                for a, b in zip(first[keep].tolist(), last[keep].tolist()):
+                for trigger, a, b in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
                     phrase = whole[a : b + length]
-                    found[xxhash.xxh3_128_digest(phrase)] = phrase
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["name", "phrase"])
+                    found[trigger, xxhash.xxh3_64_intdigest(phrase)] = phrase
+                keys = np.array(list(found), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(found.values()), pa.binary())], names=["trigger", "name", "phrase"])
 
-    spelt = map_batches(long_rows.select("text"), spell, "name binary, phrase binary").groupBy("name").agg(F.min("phrase").alias("phrase"))
-    spelt = dictionary.join(several, "trigger", "left_semi").join(spelt, "name")
+    spelt = map_batches(long_rows.select("text"), spell, "trigger long, name long, phrase binary").groupBy("trigger", "name").agg(F.min("phrase").alias("phrase"))
+    spelt = dictionary.join(several, "trigger", "left_semi").join(spelt, ["trigger", "name"])
 
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by trigger. inner: bits of the strings that a smaller document has in another phrase."""
@@ -237,7 +240,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             inner = np.zeros(len(phrases), np.int64)
             np.bitwise_or.at(inner, of, np.where(smallest[group] < least[of], np.left_shift(np.int64(1), offset), 0))
             some = np.flatnonzero(inner)
-            yield pa.RecordBatch.from_arrays([part.column("name").take(pa.array(some)).combine_chunks(), pa.array(inner[some])], names=["name", "inner"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(some)).combine_chunks() for c in ("trigger", "name")), pa.array(inner[some])], names=["trigger", "name", "inner"])
 
         count = 0
         for batch in batches:
@@ -255,13 +258,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from done(pa.Table.from_batches(held))
 
     ordered = spelt.select("trigger", "name", "least", "phrase").repartition("trigger").sortWithinPartitions("trigger")
-    inner = map_batches(ordered, order, "name binary, inner long")
-    known = dictionary.select("name", "least", "n").join(inner, "name", "left").where("n > 1 or inner is not null")
-    known = scratch.keep(known.withColumn("inner", F.coalesce("inner", F.lit(0).cast("long"))), "known")
+    inner = map_batches(ordered, order, "trigger long, name long, inner long")
+    known = dictionary.join(inner, ["trigger", "name"], "left").where("n > 1 or inner is not null")
+    key = F.struct("trigger", "name").alias("key")
+    known = scratch.keep(known.select(key, "least", "n", F.coalesce("inner", F.lit(0).cast("long")).alias("inner")), "known")
     scratch.drop("dictionary", "several")
 
-    found = parsed.select("id", "tag", "at", "name", "strings")
-    found = join_groups(found.where(may_be_in(key_filter(known, "name"), F.col("name"))), known, "name", "n", F.xxhash64("tag", "at"))
+    found = parsed.select("id", "tag", "at", key, "strings")
+    found = join_groups(found.where(may_be_in(key_filter(known, "key"), F.col("key"))), known, "key", "n", F.xxhash64("tag", "at"))
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("strings").cast("int")) - 1
     hit = found.select("id", "tag", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("inner")).alias("hit")).where("hit != 0")
     hits = scratch.keep(hit.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "hit")).alias("hits")), "hits")
