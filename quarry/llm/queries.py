@@ -13,7 +13,7 @@ from quarry.llm import toxicity
 from quarry.llm.bpe import encode_digests
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
-from quarry.llm.line_dedup import LINE_RADIUS, LINE_SKETCH, drop_lines
+from quarry.llm.line_dedup import LINE_RADIUS, LINE_SKETCH, LINE_WORDS, drop_lines
 from quarry.llm.secrets import scan_report
 from quarry.llm.simhash import simhash_dedup
 from quarry.llm.substrings import remove_repeats
@@ -63,7 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_lines(table(spark, sf_dir, "documents"), radius=LINE_RADIUS, sketch=LINE_SKETCH)
+    out = drop_lines(table(spark, sf_dir, "documents"), least_words=LINE_WORDS, radius=LINE_RADIUS, sketch=LINE_SKETCH)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
