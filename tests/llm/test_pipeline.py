@@ -89,3 +89,15 @@ def test_stages_are_the_registered_ones():
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "bpe"]
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_short_near_copies(spark):
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for i in range(40):
+        text = " ".join(word() for _ in range(8 + i % 4))
+        rows += [(i, text), (100 + i, f"{text} {word()}")]
+    assert all(alike(rows[k][1], rows[k + 1][1]) for k in range(0, 80, 2))
+    near = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert set(range(40)) <= near and len(near) <= 40 + 8
