@@ -229,13 +229,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no words; their fingerprint is zero and links like any other.
     Equal texts share a fingerprint, so copies and repeated rows cost one comparison. Rows
-    with a null id are in no link; their component_id is their fingerprint's, or null if
-    none has it. An empty table gives no rows; other columns are ignored.
+    with a null id are in no link; their component_id is their fingerprint's (with
+    ``similarity``, their text's), or null if none has it. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col, words, bits), "prints")
-    distinct = prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"))
-    distinct = scratch.keep(distinct.select("fp", F.col("at.id").alias("rep"), F.col("at.tag").alias("tag"), "n", "size"), "distinct")
+    # Where texts decide, texts that only share a fingerprint are apart.
+    own = ["fp"] if similarity is None else ["fp", "own"]
+    if similarity is not None:
+        prints = prints.withColumn("own", F.concat_ws(" ", F.hex("fp"), "tag"))
+    distinct = prints.groupBy(*own).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"))
+    distinct = scratch.keep(distinct.select(*own, F.col("at.id").alias("rep"), F.col("at.tag").alias("tag"), "n", "size"), "distinct")
     linked = distinct.where(F.col("rep").isNotNull() & (F.col("size") >= least_shingles))
     keyed = scratch.keep(under_keys(linked, keys or pigeonhole(bits, radius), bits), "keyed")
     found = components(links(keyed, bits, radius), scratch, "near")
@@ -250,6 +254,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         verify = lambda a, b: len(a & b) >= similarity * len(a | b)
         found = components(links(keyed, bits, radius, prepare, verify, GROUP_CHUNK), scratch, "verified")
         scratch.drop("texts")
-    reached = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
-    result = join_groups(prints, reached, "fp", "n", F.xxhash64("id"))
+    reached = distinct.join(found, distinct["rep"] == found["node"], "left").select(own[-1], "n", F.coalesce("component", "rep").alias("component_id"))
+    result = join_groups(prints, reached, own[-1], "n", F.xxhash64("id"))
     return result.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
