@@ -169,10 +169,16 @@ def token_simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a conversation's first turns against those of its second."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 2")
-    lines = turns.select("conv_id", F.when(F.col("turn") == 0, "a").otherwise("b").alias("side"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return align.align_documents(lines, "conv_id", "side", "n", "line").withColumnRenamed("pair", "conv_id")
+    """The lines of each turn of a conversation against those of the next; ``turn`` is the earlier one's."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    later = turns.withColumn("turn", F.col("turn") - 1).where("turn >= 0")
+    # A last turn has been the later one already; a conversation's only turn stands alone.
+    earlier = turns.where("turn = 0").unionByName(turns.where("turn > 0").join(later, ["conv_id", "turn"], "left_semi"))
+    sides = earlier.withColumn("side", F.lit("a")).unionByName(later.withColumn("side", F.lit("b")))
+    lines = sides.select(F.concat_ws(" ", "turn", "conv_id").alias("pair"), "side", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    aligned, key = align.align_documents(lines, "pair", "side", "n", "line"), F.split("pair", " ", 2)
+    kinds = dict(turns.dtypes)
+    return aligned.select(key[1].cast(kinds["conv_id"]).alias("conv_id"), key[0].cast(kinds["turn"]).alias("turn"), *(c for c in aligned.columns if c != "pair"))
 
 
 @query()

@@ -24,3 +24,9 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
+
+
+def test_block_alignment_reads_every_turn(spark, con):
+    got = {(r.conv_id, r.turn) for r in QUERIES["block_alignment"](spark, SF).select("conv_id", "turn").collect()}
+    want = con.execute("SELECT conv_id, turn FROM conversations c WHERE text IS NOT NULL AND (turn = 0 OR EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1))").fetchall()
+    assert got == set(want) and max(turn for _, turn in got) > 0
