@@ -7,6 +7,8 @@ Only DataFrame functions run here.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,16 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return chain
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-7) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:
     """(kind, host, score): personalised PageRank by kind.
 
     edges (kind, src, dst, weight): weights of a source's links add up to 1 in each kind.
-    seeds (kind, host, mass): add up to 1 in each kind. Ends after ``rounds``, or once no
-    score moves by ``tolerance``. The mass that hosts without links would pass on is lost.
+    seeds (kind, host, mass): add up to 1 in each kind. Ends once no score moves by
+    ``tolerance``: moves shrink by ``damping`` a round, so rounds are bounded by it (100 by default). The mass that hosts without links would pass on is lost.
     """
     base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
     now = scratch.keep(base, "scores0")
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         sent = now.join(edges, (now["kind"] == edges["kind"]) & (now["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
         summed = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         new = scratch.keep(summed, f"scores{turn}")

@@ -75,3 +75,13 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_chain(spark):
+    from quarry.llm.urls import propagate
+    from quarry.storage import Scratch
+
+    edges = spark.createDataFrame([("block", f"h{i}", f"h{i + 1}", 1.0) for i in range(22)], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("block", "h0", 1.0)], "kind string, host string, mass double")
+    got = {r.host: r.score for r in propagate(edges, seeds, Scratch(spark, "chain"), damping=0.5).collect()}
+    assert got.keys() == {f"h{i}" for i in range(23)} and abs(got["h22"] - 0.5**23) < 1e-12
