@@ -9,6 +9,7 @@ the walk below keeps the states of the current path alone.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -62,8 +63,12 @@ def splitter():
     return words_in
 
 
-#: Words whose encodings a task remembers at most.
-CACHE_WORDS = 200_000
+#: Words whose encodings a Python worker remembers at most.
+CACHE_WORDS = 300_000
+#: Prefixes in the trie of words, and remembered steps of the automaton, from which on a worker starts afresh or adds none.
+MOST_NODES, MOST_JUMPS = 600_000, 1_000_000
+#: Every so many bytes of a word its prefix is worked out, whether needed or not.
+SETTLE_EVERY = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -90,10 +95,12 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = map(to_bytes, pair if isinstance(pair, list) else pair.split(" "))
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
-        self.longest = max(map(len, self.ids))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # left token * 2**32 + right token
         self.parts = {merged: (rank, pair) for pair, (rank, merged) in self.merges.items()}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.jumps: dict[int, int] = {}
+        self.suffixes()
+        self.clear()
 
     def merge(self, data: bytes) -> list[int]:
         """BPE by its definition: the earliest-ranked pair merges first, leftmost first."""
@@ -120,62 +127,178 @@ class Vocabulary:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether two tokens side by side encode to themselves: no merge across comes before those inside."""
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << 32 | right)
         if known is None:
-            a, b, i, j, known = self.edge(left, 1), self.edge(right, 0), 0, 0, True
+            merges, known = self.merges, True
+            a, b = iter(self.edge(left, 1)), iter(self.edge(right, 0))
+            (x, x_ends), (y, y_ends) = next(a), next(b)
             while True:
-                (x, x_ends), (y, y_ends) = a[i], b[j]
-                across = self.merges.get((x, y))
+                across = merges.get((x, y))
                 # Of equal ranks the leftmost merges first.
                 if across and across[0] < x_ends and across[0] <= y_ends:
                     known = False
                     break
-                if x_ends == y_ends == inf:
-                    break
                 if x_ends <= y_ends:
-                    i += 1
+                    if x_ends == inf:
+                        break
+                    x, x_ends = next(a)
                 else:
-                    j += 1
-            self.apart[left, right] = known
+                    y, y_ends = next(b)
+            self.apart[left << 32 | right] = known
         return known
 
+    def clear(self) -> None:
+        """Forgets the trie of words. Its nodes: last token, that token's bytes, state of the automaton, own number; the root is the empty prefix."""
+        self.child: dict[int, list] = {}  # number * 256 + byte: the node of the longer prefix
+
+    def suffixes(self) -> None:
+        """An automaton whose state after some bytes knows all tokens that end there, longest first."""
+        self.step: dict[int, int] = {}
+        whole, level, fail = [None], [0], [0]
+        for token, number in self.ids.items():
+            state = 0
+            for byte in token:
+                if (following := self.step.get(state << 8 | byte)) is None:
+                    following = self.step[state << 8 | byte] = len(whole)
+                    whole.append(None)
+                    level.append(level[state] + 1)
+                    fail.append(0)
+                state = following
+            whole[state] = number
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(whole)
+        for key, state in sorted(self.step.items(), key=lambda x: level[x[1]]):
+            before, byte = key >> 8, key & 255
+            while before:
+                before = fail[before]
+                if (found := self.step.get(before << 8 | byte)) is not None:
+                    fail[state] = found
+                    break
+            own = () if whole[state] is None else ((whole[state], level[state]),)
+            self.ends[state] = own + self.ends[fail[state]]
+        self.fail = fail
+
+    def follow(self, state: int, byte: int) -> int:
+        """The state after one more byte; remembered."""
+        at = state
+        while (found := self.step.get(at << 8 | byte)) is None and at:
+            at = self.fail[at]
+        found = found or 0
+        if len(self.jumps) < MOST_JUMPS:
+            self.jumps[state << 8 | byte] = found
+        return found
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """The encoding of each distinct word."""
-        ids, longest, apart, stay_apart = self.ids, self.longest, self.apart, self.stay_apart
+        """The encoding of each distinct word.
+
+        Words enter the trie in sorted order, so it grows depth first. A node's last token is worked out when
+        a word first needs it, from last tokens above; a prefix that any word had before, in this call or an
+        earlier one, is not worked out again.
+        """
+        if len(self.child) > MOST_NODES:
+            self.clear()
+        child, ends, jumps, apart, stay_apart = self.child, self.ends, self.jumps, self.apart, self.stay_apart
         out: dict[bytes, tuple[int, ...]] = {}
-        last: list[int] = [-1]  # last[i]: the last token of the encoding of the path's first i bytes
-        size: list[int] = [0]  # and its length
-        path = b""
+        path, before = [[-1, 0, 0, 0]], b""  # nodes of the prefixes of the word before
+
+        def settle(end: int) -> None:
+            node = path[end]
+            for token, n in ends[node[2]]:
+                if n == end:
+                    break
+                last = path[end - n][0]
+                if last is None:
+                    settle(end - n)
+                    last = path[end - n][0]
+                known = apart.get(last << 32 | token)
+                if known or known is None and stay_apart(last, token):
+                    break
+            node[0], node[1] = token, n
+
         for word in sorted(set(words)):
-            shared, most = 0, min(len(path), len(word))
-            if word[:most] == path[:most]:
-                shared = most
+            at, most = 0, min(len(before), len(word))
+            if word[:most] == before[:most]:
+                at = most
             else:
-                while word[shared] == path[shared]:
-                    shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is None:
-                        continue
-                    before = last[start]
-                    if start:
-                        known = apart.get((before, token))
-                        if not (stay_apart(before, token) if known is None else known):
-                            continue
-                    last.append(token)
-                    size.append(end - start)
-                    break
-            path = word
-            at, tokens = len(word), []
-            while at:
-                tokens.append(last[at])
-                at -= size[at]
-            out[word] = tuple(reversed(tokens))
+                while word[at] == before[at]:
+                    at += 1
+            del path[at + 1 :]
+            node = path[at]
+            for place, byte in enumerate(word[at:], at + 1):
+                key = node[3] << 8 | byte
+                following = child.get(key)
+                if following is None:
+                    now = jumps.get(node[2] << 8 | byte)
+                    if now is None:
+                        now = self.follow(node[2], byte)
+                    following = child[key] = [None, 0, now, len(child) + 1]
+                node = following
+                path.append(node)
+                if place % SETTLE_EVERY == 0 and node[0] is None:  # bounds the depth of the recursion
+                    settle(place)
+            before = word
+            left, tokens = len(word), []
+            while left:
+                node = path[left]
+                if node[0] is None:
+                    settle(left)
+                tokens.append(node[0])
+                left -= node[1]
+            tokens.reverse()
+            out[word] = tuple(tokens)
         return out
 
 
+class Encoder:
+    """Texts to ids and back, with the words it has met."""
+
+    def __init__(self, definition: str):
+        self.vocabulary = vocabulary = Vocabulary(definition)
+        self.words_in = splitter()
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
+        self.digits = [str(i) for i in range(max(vocabulary.bytes_of) + 1)]
+        self.added = {t: (str(i), vocabulary.bytes_of[i]) for t, i in vocabulary.added.items()}
+        self.known: dict[str, tuple[str, bytes]] = dict(self.added)  # a word: its ids as text, and the bytes that these stand for
+
+    def split(self, text: str) -> list[str]:
+        if self.cut is None or not any(t in text for t in self.added):
+            return self.words_in(text)
+        # Added tokens stand at odd places.
+        return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.words_in(part))]
+
+    def learn(self, new: set[str]) -> None:
+        of_ids, of_bytes = self.digits.__getitem__, self.vocabulary.bytes_of.__getitem__
+        for word, tokens in self.vocabulary.encode_words(w.encode() for w in new).items():
+            self.known[word.decode()] = (",".join(map(of_ids, tokens)), b"".join(map(of_bytes, tokens)))
+
+    def run(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
+        """For each text, its ids as text, and the bytes that the ids stand for."""
+        split = [self.split(text) for text in texts]
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        new: set[str] = set()
+        open_texts = [i for i, pairs in enumerate(found) if None in pairs]
+        for i in open_texts:
+            new.update(w for w, pair in zip(split[i], found[i]) if pair is None)
+        if len(self.known) + len(new) > CACHE_WORDS:  # words that come again stay
+            again = {w: pair for words, pairs in zip(split, found) for w, pair in zip(words, pairs) if pair is not None}
+            self.known = dict(self.added) | (again if len(again) < CACHE_WORDS // 2 else {})
+        self.learn(new)
+        for i in open_texts:
+            found[i] = [pair or self.known[w] for w, pair in zip(split[i], found[i])]
+        return [",".join([pair[0] for pair in pairs]) for pairs in found], [b"".join([pair[1] for pair in pairs]) for pairs in found]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(definition: str) -> Encoder:
+    """The Python worker's encoder: it outlives a task, so that words and prefixes are worked out once."""
+    if definition not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition] = Encoder(definition)
+    return _ENCODERS[definition]
+
+
 def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids array<int>, decoded string.
 
@@ -207,32 +330,13 @@ def _mapped(docs, definition, id_col, text_col, columns, finish, names) -> DataF
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        words_in = splitter()
-        cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
-        to_ids: dict[str, str] = {t: str(i) for t, i in vocabulary.added.items()}
-        digits = [str(i) for i in range(max(vocabulary.bytes_of) + 1)]
-        to_bytes: dict[str, bytes] = {t: vocabulary.bytes_of[i] for t, i in vocabulary.added.items()}
+        encoder = _encoder(shared.value)
         for batch, texts in pieces(batches, "text"):
-            split = []
-            for text in texts:
-                text = text.decode()
-                if cut is None or not any(t in text for t in vocabulary.added):
-                    split.append(words_in(text))
-                else:  # added tokens stand at odd places
-                    split.append([w for i, part in enumerate(cut.split(text)) for w in ([part] if i % 2 else words_in(part))])
-            new = set().union(*split).difference(to_ids)
-            if len(to_ids) + len(new) > CACHE_WORDS:
-                for word in [w for w in to_ids if w not in vocabulary.added]:
-                    del to_ids[word], to_bytes[word]
-                new = set().union(*split).difference(to_ids)
-            encoded = vocabulary.encode_words(w.encode() for w in new)
-            for word in new:
-                tokens = encoded[word.encode()]
-                to_ids[word] = ",".join(map(digits.__getitem__, tokens))
-                to_bytes[word] = b"".join(map(vocabulary.bytes_of.__getitem__, tokens))
-            ids = [",".join(map(to_ids.__getitem__, words)) for words in split]
-            decoded = [b"".join(map(to_bytes.__getitem__, words)) for words in split]
+            gc.disable()  # words and nodes are many, and never in cycles
+            try:
+                ids, decoded = encoder.run([t.decode() for t in texts])
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column("id"), *finish(ids, decoded)], names=["id", *names])
 
     kind = rows.schema["id"].dataType.simpleString()
