@@ -20,19 +20,25 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """TypeError if ids are no integers, instead of a failed cast in the middle of a job."""
+    if (kind := df.select(id_col).dtypes[0][1]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; documents are ordered by an integer id")
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null gives no bytes."""
     return column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).fill_null(b"").to_pylist()
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most PIECE_BYTES of text, or one row, and their texts."""
+def pieces(batches: Iterable[pa.RecordBatch], column: str, size_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``size_bytes`` of text, or one row, and their texts."""
     for batch in batches:
         all_texts = texts(batch.column(column))
         at = 0
         while at < len(all_texts):
             end, size = at, 0
-            while end < len(all_texts) and (end == at or size + len(all_texts[end]) <= PIECE_BYTES):
+            while end < len(all_texts) and (end == at or size + len(all_texts[end]) <= size_bytes):
                 size += len(all_texts[end])
                 end += 1
             yield batch.slice(at, end - at), all_texts[at:end]

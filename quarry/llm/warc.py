@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.batches import map_batches, pieces
+from quarry.llm.batches import integer_ids, map_batches, pieces
 from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 
 #: Bytes of records in an archive, about; a larger record has one of its own.
@@ -178,6 +178,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 out = []
                 for archive, offset, length in rows[at : at + 64]:
                     if archive != opened:
+                        if source is not None:
+                            source.close()
                         opened, source = archive, system.open_input_file(f"{path}/{archive}")
                     source.seek(offset)
                     whole = zlib.decompress(source.read(length), 31)
@@ -194,6 +196,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     out.append((kind, bare[0], fields.get("warc-target-uri"), size, digest, bare[1], payload))
                 types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["type", "id", "uri", "payload_bytes", "payload_digest", "refers_to", "payload"])
+        if source is not None:
+            source.close()
 
     return map_batches(index, run, "type string, id string, uri string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
@@ -206,17 +210,20 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null payloads are empty ones. Of rows with the same smallest id, all are responses. A
     null id is larger than any other; payloads that only null ids hold are all responses. An
-    empty table gives no archive and an empty index; other columns are ignored.
+    empty table gives no archive and an empty index; other columns are ignored. Ids are
+    integers, since the smallest one is the response; another type raises TypeError. A very
+    long payload is a record of its own size, held whole in one task.
     """
+    integer_ids(pages, id_col)
     scratch = Scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(pages[payload_col].cast("string"), F.lit("")), "utf-8")
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     first = pages.select(pages[id_col].cast("long").alias("id"), F.sha1(payload).alias("sha"), F.length(payload).alias("size"))
     first = first.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("size").alias("size"))
     # Only payloads that occur twice and may be revisited are looked up.
-    first = scratch.keep(first.where((F.col("n") > 1) & (F.col("size") >= least_revisit) & F.col("first").isNotNull()).select("sha", "first", "n"), "first")
+    first = scratch.keep(first.where((F.col("n") > 1) & (F.col("size") >= least_revisit) & F.col("first").isNotNull()).select("sha", "first"), "first")
     may = may_be_in(key_filter(first, "sha"), F.col("sha"))
-    looked = join_groups(rows.where(may).select("sha", "id", "url", "payload"), first, "sha", "n", F.xxhash64("id", "url"), "left").select("id", "url", "payload", "sha", "first")
+    looked = join_groups(rows.where(may).select("sha", "id", "url", "payload"), first, "sha", "left").select("id", "url", "payload", "sha", "first")
     joined = looked.unionByName(rows.where(~may).withColumn("first", F.lit(None).cast("long")))
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     out = joined.select("id", "url", "payload", _base32(F.col("sha")).alias("digest"), F.col("first").alias("refers_to"), revisit.alias("revisit"))
