@@ -45,16 +45,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Members of groups with their texts, beside the text of the row that would stay.
     # The filter keeps the texts of single rows out of the shuffle.
     member = docs.select(docs[id_col].alias("id"), digest(text.cast("binary")).alias("h"), text.alias("t"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    member = scratch.keep(join_groups(member.where(may_be_in(key_filter(several, "h"), F.col("h"))), several, "h", "n", F.xxhash64("id")), "member")
-    leaders = member.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("t").alias("leader"), F.first("n").alias("n"))
-    compared = join_groups(member.drop("n"), leaders, "h", "n", F.xxhash64("id"))
+    member = scratch.keep(join_groups(member.where(may_be_in(key_filter(several, "h"), F.col("h"))), several, "h"), "member")
+    leaders = scratch.keep(member.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("t").alias("leader")), "leaders")
+    compared = join_groups(member, leaders, "h")
     differ = scratch.keep(compared.where("t != leader").select("h").distinct(), "differ")
     clashes = not differ.isEmpty()
     if clashes:
-        signed, groups = signed.join(differ, "h", "left_anti"), groups.join(differ, "h", "left_anti")
-    result = join_groups(signed, groups, "h", "n", F.xxhash64("id"))
+        signed = signed.join(differ, "h", "left_anti")
+    # A row without a group of several is its own.
+    result = join_groups(signed, several.withColumnRenamed("keep_id", "best"), "h", "left")
+    result = result.select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
     if clashes:  # different texts under one hash: group those by the texts themselves
         clash = member.drop("n", "keep_id").join(differ, "h", "left_semi")
-        by_text = clash.groupBy("t").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
-        result = result.unionByName(join_groups(clash, by_text, "t", "n", F.xxhash64("id")).select(*result.columns))
+        by_text = scratch.keep(clash.groupBy("t").agg(best("id").alias("keep_id"), F.count("*").alias("n")), "by_text")
+        result = result.unionByName(join_groups(clash, by_text, "t").select(*result.columns))
     return result.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
