@@ -94,13 +94,13 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     along = links.select(F.lit("allow").alias("kind"), "src", "dst", "w")
     against = links.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     both = along.unionByName(against)
-    out = both.groupBy("kind", "src").agg(F.sum("w").alias("out"), F.count("*").alias("n")).withColumn("key", F.concat_ws(" ", "kind", "src"))
-    edges = join_groups(both.withColumn("key", F.concat_ws(" ", "kind", "src")), out.select("key", "out", "n"), "key", "n", F.xxhash64("dst"))
+    out = scratch.keep(both.groupBy(F.concat_ws(" ", "kind", "src").alias("key")).agg(F.sum("w").alias("out")), "out")
+    edges = join_groups(both.withColumn("key", F.concat_ws(" ", "kind", "src")), out, "key")
     edges = scratch.keep(edges.select("kind", "src", "dst", (F.col("w") / F.col("out")).alias("weight")), "edges")
 
     scores = propagate(edges, seeds, scratch)
     by_host = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("score"))).alias("distrust"))
-    hosts = counts.select("host", "n").join(by_host, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    done = join_groups(judged, hosts, "host", "n", F.xxhash64("id", "path"))
+    hosts = counts.select("host").join(by_host, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    done = join_groups(judged, scratch.keep(hosts, "hosts"), "host")
     by_links = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
     return done.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_links).alias("verdict"), "trust", "distrust")
