@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quarry.storage import Scratch, join_groups
 
 
-def _star(pairs: DataFrame, both: bool) -> DataFrame:
+def _star(pairs: DataFrame, both: bool, scratch: Scratch, name: str) -> DataFrame:
     """One half-step: every node u points its neighbours at the least of them and itself."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-    joined = join_groups(pairs, low, "u", "n", F.xxhash64("v"))
+    low = scratch.keep(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
+    joined = join_groups(pairs, low, "u")
     if both:
         return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     links = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -47,14 +47,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
             break
         mark, turn = tuple(found), turn + 1
         ways = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        large = _star(ways.unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v"))), True).where("a != b").distinct()
-        lower = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = scratch.keep(_star(lower, False).where("a != b").distinct(), f"{name}{turn}")
-        scratch.drop(f"{name}{turn - 1}")
-
-    ends = leaves.groupBy("b").agg(F.count("*").alias("n"))
-    ends = ends.join(now.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("b", "n", F.coalesce("c", "b").alias("component"))
-    far = join_groups(leaves, ends, "b", "n", F.xxhash64("a")).select(F.col("a").alias("node"), "component")
+        large = _star(ways.unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v"))), True, scratch, f"{name}_all{turn}").where("a != b").distinct()
+        lower = scratch.keep(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), f"{name}_large{turn}")
+        now = scratch.keep(_star(lower, False, scratch, f"{name}_low{turn}").where("a != b").distinct(), f"{name}{turn}")
+        scratch.drop(f"{name}{turn - 1}", f"{name}_all{turn}", f"{name}_large{turn}", f"{name}_low{turn}")
+
+    ends = leaves.select("b").distinct()
+    ends = ends.join(now.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("b", F.coalesce("c", "b").alias("component"))
+    ends = scratch.keep(ends, f"{name}_ends")
+    far = join_groups(leaves, ends, "b").select(F.col("a").alias("node"), "component")
     inside = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     heads = now.select("b").unionByName(ends.where("b = component").select("b")).distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return far.unionByName(inside).unionByName(heads)

@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.batches import map_batches, pieces
+from quarry.llm.batches import integer_ids, map_batches, pieces
 from quarry.llm.components import components
-from quarry.llm.hashing import mix
+from quarry.llm.hashing import BASE, mix
 from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 
 SEED = 42
@@ -37,11 +37,13 @@ def shingles(text: bytes, words: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(found[i:] for i in range(words))))
 
 
-def fingerprint(text: bytes, words: int = 4, bits: int = 64) -> tuple[bytes, int]:
-    """The fingerprint (big-endian) and the number of shingles; no words give zero bits.
+def fingerprint(text: bytes, words: int = 4, bits: int = 64, bands: tuple[int, int] | None = None) -> tuple[bytes, int, list[int]]:
+    """The fingerprint (big-endian), the number of shingles, and the band keys; no words give zero bits.
 
     A bit is 1 if it is set in over half the shingles' hashes. The first 64 bits use XXH64;
-    further ones use rehashes of it.
+    further ones use rehashes of it. ``bands`` (how many, hashes in each) asks for keys: each
+    is made of so many least hashes under as many orders of the shingles, so that two texts
+    agree on one with the power of their Jaccard similarity.
     """
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words), repeat(SEED)), np.uint64)
     counts = np.zeros(bits, np.int64)
@@ -49,18 +51,32 @@ def fingerprint(text: bytes, words: int = 4, bits: int = 64) -> tuple[bytes, int
         part = hashes[at : at + 8192]
         wide = np.stack([part, *(mix(part + np.uint64(0x9E3779B97F4A7C15 * j % 2**64)) for j in range(1, bits // 64))], axis=1)
         counts += np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(part), bits // 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(hashes)).tobytes(), len(hashes)
+    return np.packbits(counts * 2 > len(hashes)).tobytes(), len(hashes), band_keys(hashes, *bands) if bands else []
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(id, tag, fp binary, size) of every row: tag hashes the text, size counts shingles. Null text has no words."""
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A 63-bit key for each band of ``rows`` least hashes; texts without shingles share all of theirs."""
+    orders = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        # An odd factor permutes; the upper half then orders, and ties in it are as good as equal.
+        np.minimum(least, ((hashes[at : at + 4096, None] * orders) >> np.uint64(24)).min(axis=0), out=least)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        key = mix(key * np.uint64(BASE) + row)
+    return (key >> np.uint64(1)).tolist()
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, bands: tuple[int, int] | None = None) -> DataFrame:
+    """(id, tag, fp binary, size, keys) of every row: tag hashes the text, size counts shingles. Null text has no words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
-            made = [fingerprint(t, words, bits) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], names=["id", "tag", "fp", "size"])
+            made = [fingerprint(t, words, bits, bands) for t in texts]
+            found = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *found], names=["id", "tag", "fp", "size", "keys"])
 
-    return map_batches(_rows(docs, id_col, text_col), run, "id long, tag long, fp binary, size long")
+    return map_batches(_rows(docs, id_col, text_col), run, "id long, tag long, fp binary, size long, keys array<long>")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,12 +93,6 @@ def pigeonhole(bits: int, radius: int, kept: int = 2) -> list[np.ndarray]:
     return [np.concatenate(c) for c in combinations(blocks, kept)]
 
 
-def sampled(bits: int, tables: int, width: int) -> list[np.ndarray]:
-    """Bit positions of ``tables`` keys of ``width`` bits drawn at random, with a fixed seed."""
-    random = np.random.default_rng(SEED)
-    return [random.choice(bits, width, replace=False) for _ in range(tables)]
-
-
 def _bit_rows(column: pa.Array, bits: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), bits // 8), axis=1)
 
@@ -209,41 +219,48 @@ def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], obj
         if held:
             yield done(pa.Table.from_batches(held).combine_chunks())
 
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = join_groups(keyed, buckets, "key", "n", F.xxhash64("rep")).withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
+    buckets = Scratch(keyed.sparkSession, "links").keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    # Most keys have one row, which the filter keeps out of the shuffle.
+    cells = join_groups(keyed.where(may_be_in(key_filter(buckets, "key"), F.col("key"))), buckets, "key").withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     cells = cells.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "fp", *extra)
     spread = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
     return map_batches(spread, compare, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, radius: int = 4, keys: list[np.ndarray] | None = None, least_shingles: int = 0, similarity: float | None = None) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, radius: int = 4, keys: list[np.ndarray] | None = None, bands: tuple[int, int] | None = None, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (hex), component_id.
 
     Fingerprints link at ``radius`` or fewer differing bits if they agree on one of ``keys``;
     the default keys find every such pair. component_id is the smallest id that links reach
-    from the row, its own included. Texts of under ``least_shingles`` shingles link only to
-    equal fingerprints. With ``similarity``, a link also needs the sets of shingles to be
-    that similar (Jaccard): groups by distance alone are taken first, and pairs inside
-    them are verified on the texts until all that pass are connected.
+    from the row, its own included. With ``bands``, keys of least hashes of the shingles take
+    the place of keys of bits, for radii too wide for those. With ``similarity``, a link also
+    needs the sets of shingles to be that similar (Jaccard): groups by distance alone are taken
+    first, and pairs inside them are verified on the texts until all that pass are connected.
 
     Null and empty texts have no words; their fingerprint is zero and links like any other.
     Equal texts share a fingerprint, so copies and repeated rows cost one comparison. Rows
     with a null id are in no link; their component_id is their fingerprint's (with
-    ``similarity``, their text's), or null if none has it. An empty table gives no rows; other columns are ignored.
+    ``similarity``, their text's), or null if none has it. Ids are integers, since the smallest
+    one names a group; another type raises TypeError. Very long texts are hashed in parts, all of
+    them. An empty table gives no rows; other columns are ignored.
     """
+    integer_ids(docs, id_col)
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, id_col, text_col, words, bits), "prints")
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, words, bits, bands), "prints")
     # Where texts decide, texts that only share a fingerprint are apart.
     own = ["fp"] if similarity is None else ["fp", "own"]
     if similarity is not None:
         prints = prints.withColumn("own", F.concat_ws(" ", F.hex("fp"), "tag"))
-    distinct = prints.groupBy(*own).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"))
-    distinct = scratch.keep(distinct.select(*own, F.col("at.id").alias("rep"), F.col("at.tag").alias("tag"), "n", "size"), "distinct")
-    linked = distinct.where(F.col("rep").isNotNull() & (F.col("size") >= least_shingles))
-    keyed = scratch.keep(under_keys(linked, keys or pigeonhole(bits, radius), bits), "keyed")
-    found = components(links(keyed, bits, radius), scratch, "near")
-    scratch.drop("keyed")
+    distinct = prints.groupBy(*own).agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("at"), F.min("keys").alias("keys"))
+    distinct = scratch.keep(distinct.select(*own, F.col("at.id").alias("rep"), F.col("at.tag").alias("tag"), "keys"), "distinct")
+    linked = distinct.where(F.col("rep").isNotNull())
+    if bands:
+        found = components(links(linked.select(F.explode("keys").alias("key"), "rep", "fp"), bits, radius), scratch, "near")
+    else:
+        keyed = scratch.keep(under_keys(linked, keys or pigeonhole(bits, radius), bits), "keyed")
+        found = components(links(keyed, bits, radius), scratch, "near")
+        scratch.drop("keyed")
     if similarity is not None:
         nodes = scratch.keep(found.join(distinct, found["node"] == distinct["rep"]).select(F.col("component").alias("key"), "rep", "fp", "tag"), "nodes")
         source = _rows(docs, id_col, text_col)
@@ -254,6 +271,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         verify = lambda a, b: len(a & b) >= similarity * len(a | b)
         found = components(links(keyed, bits, radius, prepare, verify, GROUP_CHUNK), scratch, "verified")
         scratch.drop("texts")
-    reached = distinct.join(found, distinct["rep"] == found["node"], "left").select(own[-1], "n", F.coalesce("component", "rep").alias("component_id"))
-    result = join_groups(prints, reached, own[-1], "n", F.xxhash64("id"))
+    reached = distinct.join(found, distinct["rep"] == found["node"], "left").select(own[-1], F.coalesce("component", "rep").alias("component_id"))
+    result = join_groups(prints, scratch.keep(reached, "reached"), own[-1])
     return result.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -84,5 +84,5 @@ def test_equal_fingerprints_of_unlike_texts(spark):
     texts = [filler + rest("a"), filler + rest("b"), filler + rest("a"), None, ""]
     assert fingerprint(texts[0].encode(), 5, 256)[0] == fingerprint(texts[1].encode(), 5, 256)[0]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = simhash_dedup(docs, words=5, bits=256, radius=56, keys=simhash.sampled(256, 8, 16), similarity=0.8)
+    out = simhash_dedup(docs, words=5, bits=256, radius=56, bands=(16, 4), similarity=0.8)
     assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
