@@ -9,10 +9,10 @@ import numpy as np
 
 #: An odd multiplier, so that it can be inverted modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     if n:
         out[0] = 1
@@ -31,8 +31,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * _powers(BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * powers(BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(items: np.ndarray, k: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def gram_hashes(items: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j, factor in enumerate(_powers(BASE, k + 1)[1:]):
+    for j, factor in enumerate(powers(BASE, k + 1)[1:]):
         out += items[j : j + n] * factor
     return mix(out)
 

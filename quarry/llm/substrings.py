@@ -1,16 +1,19 @@
 """Removal of repeated substrings by a prefix-free parse of the corpus.
 
-A rolling hash over GRAM bytes gives triggers: every string of the given length belongs to
-the trigger at its least gram hash, so equal strings have equal triggers wherever they
-stand. The bytes of all strings of one trigger form a phrase. Equal phrases are one entry
-of the dictionary, with the smallest document that holds it; copies of a text cost no more
-than its one parse. Inside the dictionary, the suffixes of phrases that share a trigger are
-sorted, and strings that meet there take the smallest document over all their phrases.
-Joined with the parse, that is the corpus order: a string is removed where a smaller
-document has it.
-
-Triggers whose hash occurs in one document only are left out beforehand, by a bit set of
-fixed size that never misses a shared one.
+The parse: a rolling hash of GRAM bytes triggers phrase ends, about every PHRASE bytes. A
+phrase runs on over the last strings that start in it, so every string of the given length
+lies in one phrase, and equal stretches of text give equal phrases wherever they stand. The
+dictionary keeps the smallest document of each distinct phrase. A phrase that a smaller
+document has goes as a whole, so that copies cost one row a phrase and no more.
+
+The dictionary: what is left are phrases at their smallest document, and those that differ
+somewhere. Their suffixes are sorted in buckets: every string belongs to the bucket of the
+least gram hash in it, so equal strings meet in one. Buckets whose hash stands in one phrase
+only are left out beforehand, by a bit set of fixed size that never misses a shared one. In a
+bucket the suffixes, cut at the string's length, are sorted, and equal ones take the smallest
+document that the parse has for any of them. That is the corpus order as far as it is needed:
+suffixes that agree on a whole string are equal here, so the order of the parse itself beyond
+that string decides nothing, and no suffix array of the parse is kept.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.batches import map_batches, texts
-from quarry.llm.hashing import BASE, _powers, mix
+from quarry.llm.batches import integer_ids, map_batches, texts
+from quarry.llm.hashing import BASE, mix, powers
 from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 
+#: Bytes of text to a phrase, on average; a power of two.
+PHRASE = 128
 #: Long enough that texts seldom share a gram by chance, short enough for few triggers.
 GRAM = 28
 #: Bits of the set of shared triggers: 16 MB, whatever the corpus.
@@ -45,7 +50,7 @@ def gram_values(data: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     symbols = mix(np.arange(1, 257, dtype=np.uint64))[data]
-    steps = _powers(BASE, GRAM + 1)
+    steps = powers(BASE, GRAM + 1)
     # By doubling: 2 bytes, 4, 8, 16, and then the 8 and 4 that are left.
     two = symbols[:-1] * steps[1] + symbols[1:]
     four = two[:-2] * steps[2] + two[2:]
@@ -107,6 +112,26 @@ def phrases_of(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nd
     return values[at[new]], starts[new], starts[np.append(new[1:], len(starts)) - 1]
 
 
+class Seen:
+    """The columns of the batches that went by, but for their texts."""
+
+    def __init__(self):
+        self.batches: list[pa.RecordBatch] = []
+
+    def watch(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            self.batches.append(batch.drop_columns("text"))
+            yield batch
+
+    def of(self, packed: np.ndarray) -> list[np.ndarray]:
+        """The columns' values for rows as ``cut`` packs them."""
+        out = []
+        number = np.cumsum([0] + [b.num_rows for b in self.batches])[packed >> 32] + (packed & 0xFFFFFFFF)
+        for column in range(self.batches[0].num_columns):
+            out.append(np.concatenate([b.column(column).to_numpy() for b in self.batches])[number])
+        return out
+
+
 def _in_sieve(sieve: np.ndarray, hashes: np.ndarray, shift: np.uint64, bits: int) -> np.ndarray:
     bit = ((hashes >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)
     return sieve[(hashes >> shift).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
@@ -117,16 +142,65 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document
     with a smaller id; strings are judged on the input. n_spans counts maximal removed runs.
+    Ids are integers, since documents are ordered by them; another type raises TypeError, and a
+    length that one word of flags can't hold (outside GRAM to GRAM + 63) raises ValueError.
 
-    Null and empty texts have no bytes. Rows with equal ids are one document: neither is
-    smaller. A row with a null id loses nothing and takes nothing from others. An empty
-    table gives no rows; other columns are ignored.
+    Null and empty texts have no bytes; very long ones are handled in overlapping pieces. Rows
+    with equal ids are one document: neither is smaller. A row with a null id loses nothing and
+    takes nothing from others. An empty table gives no rows; other columns are ignored.
     """
+    if not GRAM <= length < GRAM + 64:
+        raise ValueError(f"length is {GRAM} to {GRAM + 63}, not {length}")
+    integer_ids(docs, id_col)
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     text = F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "utf-8")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    long_rows = rows.where(F.col("id").isNotNull() & (F.length("text") >= length))
+    whole_rows = rows.where(F.col("id").isNotNull() & (F.length("text") >= length))
+
+    def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for data, starts, row_of, place in cut(seen.watch(batches), length):
+            ends = (gram_values(data)[starts] & np.uint64(PHRASE - 1)) == 0
+            ends[1:] |= np.diff(starts) != 1  # the next text
+            ends[:1] = True
+            first = np.flatnonzero(ends)
+            last = np.append(first[1:], len(starts)) - 1
+            view = memoryview(data.tobytes())
+            names = b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(starts[first].tolist(), starts[last].tolist())])
+            high, low = np.frombuffer(names, "<i8").reshape(-1, 2).T
+            ids, tags = seen.of(row_of[starts[first]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, tags, place[starts[first]], last - first + 1, np.ascontiguousarray(high), np.ascontiguousarray(low))], names=["id", "tag", "at", "strings", "high", "low"])
+
+    parse = scratch.keep(map_batches(whole_rows, phrases, "id long, tag long, at long, strings long, high long, low long"), "parse")
+    # Names are 128-bit hashes. Phrases of one document only need no row.
+    dictionary = parse.groupBy("high", "low").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    repeated = parse.join(scratch.keep(dictionary, "phrases"), ["high", "low"]).where("id > least")
+    repeated = scratch.keep(repeated.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "strings")).alias("gone")), "repeated")
+    scratch.drop("parse", "phrases")
+
+    def remains(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text, its stretches whose strings are in no repeated phrase, overlapping those by a string less one byte."""
+        for batch in batches:
+            at, parts, base = [], [], []
+            for i, (data, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone"))):
+                edges = np.array([0, len(data) - length + 1])
+                if gone.is_valid:
+                    marks = np.zeros(len(data) - length + 2, np.int32)
+                    begin, count = (np.array(gone.values.field(f), np.int64) for f in ("at", "strings"))
+                    np.add.at(marks, begin, 1)
+                    np.add.at(marks, begin + count, -1)
+                    left = np.concatenate([[False], np.cumsum(marks[:-1]) == 0, [False]])
+                    edges = np.flatnonzero(left[1:] != left[:-1])
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    at.append(i)
+                    base.append(a)
+                    parts.append(data[a : b + length - 1])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("tag").take(take), pa.array(base, pa.int64()), pa.array(parts, pa.binary())], names=["id", "tag", "base", "text"])
+
+    listed = whole_rows.join(repeated, ["id", "tag"], "left").select("id", "tag", "text", "gone")
+    long_rows = scratch.keep(map_batches(listed, remains, "id long, tag long, base long, text binary"), "remains")
     total = long_rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(6, int(total // BUCKET_BYTES).bit_length())
     shift = np.uint64(64 - buckets.bit_length() + 1)
@@ -162,30 +236,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sieve[r.bucket] = np.frombuffer(r.flags, np.uint8)
     shared = spark.sparkContext.broadcast(sieve)
 
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[pa.RecordBatch] = []
-
-        def watched() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seen.append(batch.select(["id", "tag"]))
-                yield batch
-
-        may = shared.value
-        for data, starts, row_of, place in cut(watched(), length):
+    def parse_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, may = Seen(), shared.value
+        for data, starts, row_of, place in cut(seen.watch(batches), length):
             h, first, last = phrases_of(data, starts, length)
             keep = np.flatnonzero(_in_sieve(may, h, shift, bits))
             if len(keep):
                 whole = data.tobytes()
                 names = np.array([xxhash.xxh3_64_intdigest(whole[a : b + length]) for a, b in zip(first[keep].tolist(), last[keep].tolist())], np.uint64)
-                owner = row_of[first[keep]]
-                ids = np.concatenate([b.column("id").to_numpy() for b in seen])
-                tags = np.concatenate([b.column("tag").to_numpy() for b in seen])
-                base = np.cumsum([0] + [b.num_rows for b in seen])
-                number = base[owner >> 32] + (owner & 0xFFFFFFFF)
-                columns = [pa.array(ids[number]), pa.array(tags[number]), pa.array(place[first[keep]]), pa.array((last - first + 1)[keep]), pa.array(h[keep].view(np.int64)), pa.array(names.view(np.int64))]
+                ids, tags, base = seen.of(row_of[first[keep]])
+                columns = [pa.array(ids), pa.array(tags), pa.array(place[first[keep]] + base), pa.array((last - first + 1)[keep]), pa.array(h[keep].view(np.int64)), pa.array(names.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "at", "strings", "trigger", "name"])
 
-    parsed = scratch.keep(map_batches(long_rows, parse, "id long, tag long, at long, strings long, trigger long, name long"), "parsed")
+    parsed = scratch.keep(map_batches(long_rows, parse_buckets, "id long, tag long, at long, strings long, trigger long, name long"), "parsed")
     # A phrase goes by the 64-bit hashes of its trigger and of all its bytes.
     dictionary = parsed.groupBy("trigger", "name").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     dictionary = scratch.keep(dictionary, "dictionary")
@@ -265,11 +328,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch.drop("dictionary", "several")
 
     found = parsed.select("id", "tag", "at", key, "strings")
-    found = join_groups(found.where(may_be_in(key_filter(known, "key"), F.col("key"))), known, "key", "n", F.xxhash64("tag", "at"))
+    found = join_groups(found.where(may_be_in(key_filter(known, "key"), F.col("key"))), known, "key")
     every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("strings").cast("int")) - 1
     hit = found.select("id", "tag", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("inner")).alias("hit")).where("hit != 0")
-    hits = scratch.keep(hit.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "hit")).alias("hits")), "hits")
-    scratch.drop("parsed", "known")
+    # Whole phrases have a count of strings, and buckets have flags.
+    some = hit.select("id", "tag", F.struct("at", F.lit(0).cast("long").alias("strings"), "hit").alias("h"))
+    some = some.unionByName(repeated.select("id", "tag", F.explode("gone").alias("g")).select("id", "tag", F.struct("g.at", "g.strings", F.lit(0).cast("long").alias("hit")).alias("h")))
+    hits = scratch.keep(some.groupBy("id", "tag").agg(F.collect_set("h").alias("hits")), "hits")
+    scratch.drop("parsed", "known", "repeated", "remains")
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +345,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if hits_of.is_valid:
                     marks = np.zeros(len(data) + 1, np.int32)
                     at = np.array(hits_of.values.field("at"), np.int64)
-                    bit = np.array(hits_of.values.field("hit"), np.int64)
+                    strings, bit = (np.array(hits_of.values.field(f), np.int64) for f in ("strings", "hit"))
+                    np.add.at(marks, at[strings > 0], 1)
+                    np.add.at(marks, (at + strings + length - 1)[strings > 0], -1)
                     for o in range(length - GRAM + 1):
                         begin = at[bit >> o & 1 == 1] + o
                         np.add.at(marks, begin, 1)
