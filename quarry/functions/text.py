@@ -26,16 +26,36 @@ def remove_diacritics(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "".join(_MARKED), "".join(_MARKED.values())), r"\p{Mn}+", "")
 
 
+#: The places that get a blank, in this order. The second writes the bracket again, and that is kept.
+MISSING_SPACES = [
+    (r"(?<=[,:;])(?=\S)", " "),
+    (r"(?<=\))(?=\S)", ") "),
+    (r"(?<=\S)(?=\()", " "),
+    (r"(?<=[A-Za-zÀ-ÿ])(?=[0-9])", " "),
+    (r"(?<=[0-9])(?=[A-Za-zÀ-ÿ])", " "),
+    (r"(?<=[a-zà-ÿ])(?=[A-ZÁÂÃÀÉÊÍÓÔÕÚÇ])", " "),
+]
+#: Short words that stand on their own in Portuguese titles.
+CONNECTORS = ["DE", "DA", "DO", "DOS", "DAS", "E", "EM", "NO", "NA", "NOS", "NAS", "POR", "PELO", "PELA"]
+#: Those that are split off where they are glued between capitals, in this order.
+GLUED = ["DA", "DE", "DO", "DAS", "DOS", "E", "EM", "NO", "NA", "NOS", "NAS", "AO", "AOS"]
+
+
 def fix_missing_spaces(c: Column) -> Column:
-    """Blanks after , : ;, around parentheses, between letter and digit, and before a capital inside a word."""
-    for pattern, by in ((r"([,:;])(?=\S)", "$1 "), (r"(?<=\S)\(", " ("), (r"\)(?=\w)", ") "), (r"(?<=\p{L})(?=\d)", " "), (r"(?<=\d)(?=\p{L})", " "), (r"(?<=\p{Ll})(?=\p{Lu})", " ")):
-        c = F.regexp_replace(c, pattern, by)
-    return c
+    """Blanks after , : ; and ), before (, between letter and digit, and before a capital inside a word."""
+    for pattern, by in MISSING_SPACES:
+        c = F.regexp_replace(c, "(?U)" + pattern, by)
+    return normalize_whitespace(c)
+
+
+#: One character, or up to three capitals that are no connector: what joins its like across a narrow gap.
+_JOINS = rf"(?:[\p{{L}}\p{{Nd}}$/\-–.,ªº°]|(?!(?:{'|'.join(CONNECTORS)})(?!\S))\p{{Lu}}{{2,3}})"
 
 
 def collapse_spaced_letters(c: Column) -> Column:
-    """Three or more single letters parted by single blanks become one word."""
-    return F.regexp_replace(c, r"(?U)(?<=\b\p{L}) (?=\p{L}\b(?: \p{L}\b|(?<= \p{L} \p{L})))", "")
+    """Single characters and short capitals that stand one or two blanks apart become one word."""
+    c = F.translate(c, "\u00a0\u2007\u202f\u200b\u200c\u200d\ufeff", " " * 7)
+    return normalize_whitespace(F.regexp_replace(c, rf"(?U)(?<=(?<!\S){_JOINS})[ \t]{{1,2}}(?={_JOINS}(?!\S))", ""))
 
 
 def fix_title_glue(c: Column) -> Column:
@@ -87,23 +107,50 @@ def collapse_doubled(c: Column) -> Column:
 
 
 def block_pattern(c: Column) -> Column:
-    """One sign a token: W for a word, 1 for a single character."""
-    return F.array_join(F.transform(tokens(c), lambda x: F.when(F.length(x) == 1, "1").otherwise("W")), "")
+    """One sign a token: W for a word, 1 for a single character, : for itself."""
+    return F.array_join(F.transform(tokens(c), lambda x: F.when(x == ":", ":").when(F.length(x) == 1, "1").otherwise("W")), "")
 
 
 def longest_token(c: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(tokens(c), F.length)), F.lit(0))
 
 
-#: (code, regex): the first that fits types a token.
-TOKEN_TYPES = [("E", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), ("N", r"^\d+$"), ("V", r"^\d{1,3}(\.\d{3})*,\d{2}$|^\d+[.,]\d{2}$"), ("A", r"^(?=.*\d)(?=.*\p{L})[\p{L}\d]+$"), ("U", r"^\p{Lu}{2,}\p{P}?$"), ("T", r"^\p{Lu}\p{Ll}*\p{P}?$"), ("L", r"^\p{Ll}+\p{P}?$"), ("P", r"^\p{P}+$")]
+#: Words that are typed as particles.
+PARTICLES = "da de do dos das e em no na nos nas ao aos a o nº n° n. nr n art sr sra sr. sra.".split()
 
 
 def token_type(token: Column) -> Column:
-    code = F.lit("M")
-    for name, pattern in reversed(TOKEN_TYPES):
-        code = F.when(token.rlike(pattern), name).otherwise(code)
-    return code
+    """The type code of a token without white space.
+
+    E mail, V money, R number sign, F, J and Q identifiers of 11, 14 and 16 or 20 digits, A date,
+    P particle, N number, U, L, T and M words by case, S signs. All but mail, money signs and bare
+    signs carry 1 for a single character or 2; ordinals end in a or o, and a final colon stays.
+    """
+    from quarry.functions.values import parse_date, parse_money
+
+    colon = token.endswith(":")
+    raw = F.when(colon & (F.length(token) > 1), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    core = F.regexp_replace(raw, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
+    size = F.when(F.length(core) == 1, "1").otherwise("2")
+    n = F.length(F.regexp_replace(core, r"[^\p{Nd}]", ""))
+    letter, digit, upper, lower = (core.rlike(x) for x in (r"\p{L}", r"\p{Nd}", r"\p{Lu}", r"\p{Ll}"))
+    title = core.rlike(r"^[^\p{L}]*\p{Lu}[^\p{Lu}]*$")
+    code = (
+        F.when(core.rlike(r"^\p{Nd}+[ªaA]$"), F.concat(F.lit("N"), size, F.lit("a")))
+        .when(core.rlike(r"^\p{Nd}+[ºoO]$"), F.concat(F.lit("N"), size, F.lit("o")))
+        .when(n == 11, F.concat(F.lit("F"), size))
+        .when(n == 14, F.concat(F.lit("J"), size))
+        .when(n.isin(16, 20), F.concat(F.lit("Q"), size))
+        .when(F.contains(raw, F.lit(",")) & parse_money(raw).isNotNull(), F.concat(F.lit("V"), size))
+        .when(parse_date(raw).isNotNull(), F.concat(F.lit("A"), size))
+        .when(F.lower(core).isin(*PARTICLES), F.concat(F.lit("P"), size))
+        .when(~letter & digit, F.concat(F.lit("N"), size))
+        .when(letter & ~digit, F.concat(F.when(upper & ~lower, "U").when(lower & ~upper, "L").when(title, "T").otherwise("M"), size))
+        .when(letter, F.concat(F.lit("M"), size))
+        .otherwise(F.concat(F.lit("S"), size))
+    )
+    signed = F.concat(F.when(F.lower(raw).isin("nº", "n°", "n."), "R2").otherwise(code), F.when(colon, ":").otherwise(""))
+    return F.when(F.contains(raw, F.lit("@")) & F.contains(raw, F.lit(".")), "E").when(F.lower(raw).startswith("r$"), "V").when((core == "") & ~F.lower(raw).isin("nº", "n°", "n."), "S").otherwise(signed)
 
 
 def typed_pattern(c: Column) -> Column:
@@ -174,8 +221,13 @@ def strip_nul(c: Column) -> Column:
     return F.regexp_replace(c, r"\x00", "")
 
 
-#: Short words that stand on their own in Portuguese titles.
-CONNECTORS = ["A", "AO", "AS", "DA", "DAS", "DE", "DO", "DOS", "E", "EM", "NA", "NO", "O", "OS", "POR", "COM"]
+def _letters(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+
+
+def _capital(c: Column) -> Column:
+    """Has letters, and all of them are capitals."""
+    return c.rlike(r"^[^\p{L}]*(?:\p{Lu}[^\p{L}]*)+$")
 
 
 def merge_runs(c: Column, joins, least_tokens: int, least_letters: int) -> Column:
@@ -184,7 +236,7 @@ def merge_runs(c: Column, joins, least_tokens: int, least_letters: int) -> Colum
 
     def flushed(acc: Column) -> Column:
         run = acc["run"]
-        enough = (F.size(run) >= least_tokens) & (F.length(F.array_join(run, "")) >= least_letters)
+        enough = (F.size(run) >= least_tokens) & (_letters(F.array_join(run, "")) >= least_letters)
         return F.concat(acc["done"], F.when(enough, F.array(F.array_join(run, ""))).otherwise(run))
 
     def step(acc: Column, token: Column) -> Column:
@@ -197,28 +249,81 @@ def merge_runs(c: Column, joins, least_tokens: int, least_letters: int) -> Colum
     return F.array_join(F.aggregate(tokens(c), start, step, flushed), " ")
 
 
+def merge_pairs(c: Column, joins) -> Column:
+    """From left to right, two neighbours for which ``joins(left, right)`` holds become one word, which joins no further."""
+    start = F.struct(F.lit("").alias("done"), F.lit(None).cast("string").alias("held"))
+
+    def step(acc: Column, token: Column) -> Column:
+        held = acc["held"]
+        both = held.isNotNull() & joins(held, token)
+        out = F.when(both, F.concat(held, token)).otherwise(held)
+        done = F.when(out.isNull(), acc["done"]).otherwise(F.concat_ws(" ", F.nullif(acc["done"], F.lit("")), out))
+        return F.struct(done.alias("done"), F.when(~both, token).alias("held"))
+
+    return F.aggregate(tokens(c), start, step, lambda acc: F.concat_ws(" ", F.nullif(acc["done"], F.lit("")), acc["held"]))
+
+
 def fix_uppercase_split_tokens(c: Column) -> Column:
     """"DI RE TOR" becomes "DIRETOR": capitals of up to three letters, connectors left out."""
-    return merge_runs(c, lambda x: x.rlike(r"^\p{Lu}{1,3}$") & ~x.isin(*CONNECTORS), 2, 4)
+    return merge_runs(c, lambda x: x.rlike(r"^[^\p{L}]*(?:\p{Lu}[^\p{L}]*){1,3}$") & ~F.upper(x).isin(*CONNECTORS), 2, 4)
 
 
 def fix_uppercase_token_runs(c: Column) -> Column:
-    """Three short capitals or more in a row, connectors or not, become one."""
-    return merge_runs(c, lambda x: x.rlike(r"^\p{Lu}{1,3}$"), 3, 3)
+    """Three words of up to three capitals or more in a row, connectors or not, become one."""
+    short = r"\p{Lu}{1,3}"
+    return F.regexp_replace(c, rf"(?U)(?<=(?<!\S){short} {short}) (?={short}(?!\S))|(?<=(?<!\S){short}) (?={short} {short}(?!\S))", "")
+
+
+def fix_broken_words(c: Column) -> Column:
+    """Fragments join the word before them; of "wor dThe" the first letter does, and the rest begins the next word.
+
+    A fold, as what a word has grown to decides what joins it next.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit(None).cast("string").alias("held"))
+    word = r"^\p{L}+$"
+
+    def step(acc: Column, token: Column) -> Column:
+        held = acc["held"]
+        words = held.rlike(word) & token.rlike(word)
+        capitals = held.rlike(r"^\p{Lu}+$") & token.rlike(r"^\p{Lu}{1,3}$")
+        free = ~F.upper(held).isin(*CONNECTORS) & ~F.upper(token).isin(*CONNECTORS)
+        first = free & token.rlike(r"^\p{Ll}\p{Lu}")
+        short = free & ((F.length(token) <= 2) | ((F.length(held) <= 3) & (F.length(token) <= 3) & token.rlike(r"^\p{Ll}")))
+        whole = F.coalesce(words & (capitals | (~first & short)), F.lit(False))
+        head = F.coalesce(words & ~capitals & first, F.lit(False))
+        out = F.when(head, F.concat(held, F.substring(token, 1, 1))).otherwise(held)
+        done = F.when(whole | held.isNull(), acc["done"]).otherwise(F.concat_ws(" ", F.nullif(acc["done"], F.lit("")), out))
+        now = F.when(whole, F.concat(held, token)).when(head, F.substring(token, F.lit(2), F.length(token))).otherwise(token)
+        return F.struct(done.alias("done"), now.alias("held"))
+
+    return F.aggregate(tokens(c), start, step, lambda acc: F.concat_ws(" ", F.nullif(acc["done"], F.lit("")), acc["held"]))
+
+
+def fix_uppercase_word_splits(c: Column) -> Column:
+    """Capitals of three letters or more and a tail of up to four, if that is no connector, become one word."""
+    return merge_pairs(c, lambda a, b: _capital(a) & _capital(b) & ~F.upper(b).isin(*CONNECTORS) & (_letters(a) >= 3) & (_letters(b) <= 4))
+
+
+def fix_uppercase_prefix_splits(c: Column) -> Column:
+    """Up to three capitals before a word of four or more become its beginning, if they are no connector."""
+    return merge_pairs(c, lambda a, b: _capital(a) & _capital(b) & (F.length(a) <= 3) & (F.length(b) >= 4) & ~F.upper(a).isin(*CONNECTORS, "AO", "AOS"))
 
 
 def fix_uppercase_glue(c: Column) -> Column:
-    """Splits a connector glued between capitals, in mostly capital text of two blanks at most."""
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    """Splits connectors glued between capitals, and digits off them, in mostly capital text of two blanks at most."""
     capitals = F.length(F.regexp_replace(c, r"[^\p{Lu}]", ""))
-    blanks = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    split = F.regexp_replace(c, r"(?<=\p{Lu}{4})(DOS|DAS|DO|DA|DE)(?=\p{Lu}{4})", " $1 ")
-    return F.when((letters > 0) & (capitals >= 0.8 * letters) & (blanks <= 2), split).otherwise(c)
+    blanks = F.length(F.regexp_replace(c, "[^ \t\u00a0\u2007\u202f]", ""))
+    split = F.regexp_replace(c, rf"(?<=\p{{Lu}})({'|'.join(GLUED)})(?=\p{{Lu}})", " $1 ")
+    split = F.regexp_replace(split, r"(?<=[0-9])(?=\p{Lu})|(?<=\p{Lu})(?=[0-9])", " ")
+    return F.when((_letters(c) > 0) & (capitals >= 0.75 * _letters(c)) & (blanks <= 2), normalize_whitespace(split)).otherwise(c)
 
 
 def fix_line_break_splits(c: Column) -> Column:
-    """A word cut by a hyphen at the end of a line is joined."""
-    return F.regexp_replace(c, r"(\p{L})-[ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
+    """Words cut at the ends of lines are joined, by a hyphen or as capitals of which one part is short; lines become one."""
+    some = rf"(?!(?:{'|'.join(CONNECTORS)})(?!\S))"
+    c = F.regexp_replace(c, r"-+[ \t]*\r?\n[ \t]*(\S)", "$1")
+    cut = rf"(?<=(?<!\S){some}\p{{Lu}}{{3,40}})[ \t]*\r?\n[ \t]*(?={some}\p{{Lu}}{{1,3}}(?!\S))|(?<=(?<!\S){some}\p{{Lu}}{{1,3}})[ \t]*\r?\n[ \t]*(?={some}\p{{Lu}}{{4,}}(?!\S))"
+    return normalize_whitespace(F.regexp_replace(c, "(?U)" + cut, ""))
 
 
 def fix_split_words(c: Column, stop_words: list[str]) -> Column:
@@ -234,9 +339,21 @@ def fix_split_words(c: Column, stop_words: list[str]) -> Column:
 
 
 def normalize_pattern_text(c: Column) -> Column:
-    """The repairs in their order: blanks, spaced letters, runs of capitals, cut lines."""
-    return normalize_whitespace(fix_uppercase_token_runs(collapse_spaced_letters(fix_missing_spaces(fix_line_break_splits(c)))))
+    """The repairs in their order: spaced letters, blanks, runs of capitals, broken words, split capitals."""
+    return fix_uppercase_prefix_splits(fix_uppercase_word_splits(fix_broken_words(fix_uppercase_token_runs(fix_missing_spaces(collapse_spaced_letters(c))))))
 
 
 def normalize_full_text(c: Column) -> Column:
     return normalize_whitespace(fix_title_glue(fix_uppercase_glue(fix_uppercase_split_tokens(normalize_pattern_text(c)))))
+
+
+def match_text(c: Column) -> Column:
+    """``normalize_for_match`` behind the repairs of a pattern text."""
+    return normalize_for_match(normalize_pattern_text(c))
+
+
+def dedupe_words(words: Column) -> Column:
+    """Of array<struct<text, x0, y0, x1, y1>> the first of words with equal text and, to three decimals, equal place."""
+    key = lambda w: F.struct(F.lower(w["text"]), *(F.round(w[k], 3) for k in ("x0", "y0", "x1", "y1")))
+    keys = F.transform(words, key)
+    return F.filter(words, lambda w, i: F.array_position(keys, key(w)) == i + 1)

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
-#: Accepted numeric date formats, asked in this order.
-DATE_FORMATS = ["dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "d-M-yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "d.M.yyyy", "dd/MM/yy"]
+#: Accepted numeric date formats, asked in this order.
+DATE_FORMATS = ["dd/MM/yyyy", "d/M/yyyy", "dd/MM/yy", "d/M/yy", "dd-MM-yyyy", "d-M-yyyy", "dd-MM-yy", "d-M-yy", "yyyy-MM-dd"]
+#: Two-digit years up to this one are of this century.
+LAST_SHORT_YEAR = 49
 #: Portuguese month names without accents.
 MONTHS = "janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split()
 
 
 def parse_money(c: Column) -> Column:
-    """A trailing separator with one or two digits is the decimal part; other separators only group. Null without digits."""
+    """A trailing separator with one or two digits is the decimal part; other signs go, but for a leading minus. Null without digits."""
     clean = F.regexp_replace(c, r"[^0-9.,\-]", "")
     cents = F.regexp_extract(clean, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.regexp_replace(clean, r"[.,]\d{1,2}$", ""), r"[.,]", "")
-    number = F.concat(F.when(whole.isin("", "-"), F.concat(whole, F.lit("0"))).otherwise(whole), F.lit("."), F.rpad(cents, 2, "0"))
-    return F.when(clean.rlike(r"\d"), F.call_function("try_to_number", number, F.lit("S9999999999999999.99")).cast(MONEY))
+    whole = F.regexp_replace(F.regexp_replace(clean, r"[.,]\d{1,2}$", ""), r"[^0-9]", "")
+    number = F.concat(F.when(clean.startswith("-"), "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.lit("."), F.rpad(cents, 2, "0"))
+    return F.when(clean.rlike(r"\d"), number.try_cast(MONEY))
 
 
 def format_money(c: Column) -> Column:
@@ -29,18 +29,16 @@ def format_money(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The first format that gives a date of the calendar; also "5 de abril de 2024". Else null."""
+    """The first format that gives a date of the calendar; also "5 de abril de 2024" anywhere in the text. Else null."""
     text = F.trim(c)
-    tried = [F.when(text.rlike("^" + _shape(f) + "$"), F.try_to_date(text, f)) for f in DATE_FORMATS]
-    named = r"(?i)^(\d{1,2}) de ([A-Za-z]+) de (\d{4})$"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, named, 2)))
-    spelt = F.concat_ws("-", F.regexp_extract(text, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, named, 1), 2, "0"))
-    return F.coalesce(*tried, F.when(text.rlike(named) & (month > 0), F.try_to_date(spelt, "yyyy-MM-dd")))
-
-
-def _shape(date_format: str) -> str:
-    """The regex of a date format: as many digits as a field has letters, one or two for a single letter."""
-    return re.sub(r"([A-Za-z])\1*", lambda m: r"\d{1,2}" if len(m[0]) == 1 else rf"\d{{{len(m[0])}}}", date_format.replace(".", r"\."))
+    day, sign, month, year = (F.regexp_extract(text, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})$", k) for k in (1, 2, 3, 4))
+    century = F.when(F.length(year) == 4, "").when(year.try_cast("int") <= LAST_SHORT_YEAR, "20").otherwise("19")
+    numeric = F.when(sign != "", F.try_to_date(F.concat_ws("-", F.concat(century, year), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    named = r"(?iU)\b(\d{1,2})\s+de\s+([A-Za-z]+)\s+de\s+(\d{4})\b"
+    place = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, named, 2)))
+    spelt = F.concat_ws("-", F.regexp_extract(text, named, 3), F.lpad(place.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, named, 1), 2, "0"))
+    return F.coalesce(numeric, iso, F.when(text.rlike(named) & (place > 0), F.try_to_date(spelt, "yyyy-MM-dd")))
 
 
 def is_recent(day: Column, as_of: Column, years: int = 5) -> Column:

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ordered import without_overlaps
 
-#: Kinds of entities and their regexes, in the order that overlaps are settled.
+#: Kinds of entities and their regexes. A CNJ of under 20 digits is a CNJ_PARTIAL.
 ENTITIES = {
-    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "CNJ": r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}",
-    "CNPJ": r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}",
-    "CPF": r"\d{3}\.\d{3}\.\d{3}-\d{2}",
-    "MONEY": r"R\$ ?\d{1,3}(?:\.\d{3})*,\d{2}",
-    "DATE": r"\d{2}/\d{2}/\d{4}",
-    "IPV4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
-    "DIGITS": r"\d{10,}",
+    "CPF": r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b",
+    "CNPJ": r"\b\d{2}\.?\d{3}\.?\d{3}/\d{4}-?\d{2}\b",
+    "CNJ": r"\b\d{7}-?\d{2}[.\-]?\d{4}[.\-]?\d[.\-]?\d{2}(?:[.\-]?\d{4})?\b",
+    "VALOR": r"\b(?:R\$\s*)?\d{1,3}(?:\.\d{3})*,\d{2}\b|\b(?:R\$\s*)?\d+,\d{2}\b",
+    "DATA": r"(?iu)\b(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\s+de\s+(?:janeiro|fevereiro|março|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\s+de\s+\d{4})\b",
+    "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
 }
+#: What a text must hold for a kind to be searched for in it: cheap to look for, and never absent where the regex matches.
+NEEDS = {"EMAIL": "@"}
+#: Kinds for general text.
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+GENERAL = {"EMAIL": MAIL, "IPV4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "DIGITS": r"\d{10,}"}
 
 
 def unicode_regex(pattern: str) -> str:
@@ -41,12 +44,17 @@ def matches(text: Column, pattern: str, label: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     every = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), every).otherwise(empty)
+    some = text.rlike(pattern)
+    if label in NEEDS:
+        some = F.contains(text, F.lit(NEEDS[label])) & some
+    return F.when(some, every).otherwise(empty)
 
 
 def entities(text: Column, kinds: dict[str, str] = ENTITIES) -> Column:
     """All entities of a text that don't overlap: by start, the longest first."""
-    return without_overlaps(F.concat(*(matches(text, pattern, label) for label, pattern in kinds.items())))
+    kept = without_overlaps(F.concat(*(matches(text, pattern, label) for label, pattern in kinds.items())))
+    short = lambda e: (e["label"] == "CNJ") & (F.length(F.regexp_replace(e["text"], r"\D", "")) < 20)
+    return F.transform(kept, lambda e: e.withField("label", F.when(short(e), "CNJ_PARTIAL").otherwise(e["label"])))
 
 
 def first_match(text: Column, rules: list[tuple[str, int]]) -> Column:

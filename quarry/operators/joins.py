@@ -44,15 +44,24 @@ def nearest_value(rows: DataFrame, key: str, value: str, entries: DataFrame, ent
     return rows.join(best, rows[key] == best["_k"], "left").drop("_k")
 
 
-def contains_match(rows: DataFrame, key: str, text: Column, keywords: DataFrame, most_keywords: int = 10_000) -> DataFrame:
+def contains_match(rows: DataFrame, key: str, text: Column, keywords: DataFrame, most_listed: int = 1000) -> DataFrame:
     """key, target, keyword: the first keyword, in the keywords' order, that a text contains.
 
-    keywords (ord, keyword, target) is a list of rules: it is sent to all executors, and
-    its size is checked. A larger list must be cut.
+    keywords (ord, keyword, target). Up to ``most_listed`` of them are one array that every
+    text is held against. More are joined by their first letters: each text offers its
+    distinct runs of as many letters as the shortest keyword has, four at most. Both ways give
+    the same rows. Empty keywords match nothing.
     """
-    if keywords.limit(most_keywords + 1).count() > most_keywords:
-        raise ValueError(f"over {most_keywords} keywords")
-    met = rows.select(key, text.alias("_t")).join(F.broadcast(keywords), F.contains(F.col("_t"), F.col("keyword")))
+    keywords = keywords.where("keyword != ''").select("ord", "target", "keyword")
+    if keywords.limit(most_listed + 1).count() <= most_listed:
+        listed = keywords.agg(F.array_sort(F.collect_list(F.struct("ord", "target", "keyword"))).alias("k")).scalar()
+        held = rows.select(key, text.alias("_t"), listed.alias("_k"))
+        found = held.select(key, F.get(F.filter("_k", lambda k: F.contains(F.col("_t"), k["keyword"])), F.lit(0)).alias("m"))
+        return found.where("m is not null").groupBy(key).agg(F.min("m").alias("m")).select(key, "m.target", "m.keyword")
+    n = min(4, keywords.agg(F.min(F.length("keyword"))).first()[0])
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    offered = rows.select(key, text.alias("_t"), F.explode(runs).alias("_g"))
+    met = offered.join(keywords.withColumn("_g", F.substring("keyword", 1, n)), "_g").where(F.contains(F.col("_t"), F.col("keyword")))
     return met.groupBy(key).agg(F.min(F.struct("ord", "target", "keyword")).alias("m")).select(key, "m.target", "m.keyword")
 
 

@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 from quarry.operators.joins import insert_absent, upsert
 
 
-def _exists(df: DataFrame, path: str) -> bool:
+def _files(df: DataFrame, path: str):
+    """The file system of a path, and a function from a suffix to the path beside it."""
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    at = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(path + suffix)
+    return at().getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    """Whether there is a table, once a swap that was cut short is brought to its end."""
+    system, at = _files(df, path)
+    if system.exists(at()):
+        return True
+    # Without the table: the new one if it was written whole and the old one had been moved, else the old one.
+    for suffix in (".next", ".old"):
+        if system.exists(at(".old")) and (suffix == ".old" or system.exists(at(".next/_SUCCESS"))):
+            return bool(system.rename(at(suffix), at()))
+    return False
 
 
 def _swap(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then puts the new files in its place: readers never see half a table."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    """Writes beside the table, moves the old files away and the new ones in.
+
+    A crash loses nothing: the old or the new files are whole, and the next write goes on from
+    them. Between the two moves a reader finds no table; it never sees half of one.
+    """
+    system, at = _files(df, path)
     df.write.mode("overwrite").parquet(f"{path}.next")
-    target, new = hadoop.Path(path), hadoop.Path(f"{path}.next")
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(target, True)
-    if not system.rename(new, target):
+    system.delete(at(".old"), True)
+    if system.exists(at()) and not system.rename(at(), at(".old")):
+        raise OSError(f"{path}: the old files could not be moved away")
+    if not system.rename(at(".next"), at()):
         raise OSError(f"{path}: the new files could not take the old one's place")
+    system.delete(at(".old"), True)
 
 
 def merge_into(df: DataFrame, path: str, key: list[str], order: str) -> None:

@@ -134,11 +134,11 @@ def before_after_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))[1:3]) AS line, generate_subscripts(string_split(text, chr(10))[1:3], 1) - 1 AS pos FROM conversations)
+    WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations)
     SELECT conv_id, pos::INTEGER AS pos, CASE WHEN min(line) = max(line) AND count(DISTINCT turn) = (SELECT count(DISTINCT turn) FROM conversations c WHERE c.conv_id = l.conv_id) THEN 'fixed' ELSE 'variable' END AS kind
     FROM l GROUP BY 1, 2""")
 def fixed_variable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("pos", "line"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return joins.positional_compare(lines, "conv_id", "pos", "line", "turn")
 
 

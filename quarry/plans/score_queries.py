@@ -60,7 +60,7 @@ _WEIGHTS = {"licence": 5.0, "mail": 4.0, "number": 2.5, "long": 1.0}
     SELECT source, round(sum(5.0 * regexp_matches(text, '(?i)licensed under')::INTEGER + 4.0 * regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')::INTEGER
         + 2.5 * regexp_matches(text, '\d{10,}')::INTEGER + 1.0 * (n_chars > 5000)::INTEGER), 2)::DOUBLE AS score FROM documents GROUP BY 1""")
 def weighted_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"licence": F.col("text").rlike("(?i)licensed under"), "mail": F.col("text").rlike(extract.ENTITIES["EMAIL"]), "number": F.col("text").rlike(r"\d{10,}"), "long": F.col("n_chars") > 5000}
+    flags = {"licence": F.col("text").rlike("(?i)licensed under"), "mail": F.contains(F.col("text"), F.lit("@")) & F.col("text").rlike(extract.MAIL), "number": F.col("text").rlike(r"\d{10,}"), "long": F.col("n_chars") > 5000}
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.sum(scores.weighted_score(_WEIGHTS, flags)), 2).alias("score"))
 
 
@@ -76,15 +76,15 @@ def doc_type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {k: extract.ENTITIES[k] for k in ("EMAIL", "IPV4", "DIGITS")}
+    kinds = extract.GENERAL
     docs = table(spark, sf_dir, "documents")
-    found = F.array(*(F.struct(F.lit(k).alias("field"), F.regexp_extract("text", p, 0).alias("value")) for k, p in kinds.items()))
+    found = F.array(*(F.struct(F.lit(k).alias("field"), F.when(F.contains(F.col("text"), F.lit(extract.NEEDS.get(k, ""))), F.regexp_extract("text", p, 0)).otherwise(F.substring("text", 1, 0)).alias("value")) for k, p in kinds.items()))
     return docs.select("doc_id", "lang", (F.col("doc_id") % 10 / 10).alias("confidence"), F.explode(found).alias("f")).select("doc_id", "lang", "confidence", "f.*")
 
 
 @query(
     "WITH f AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, lang, doc_id % 10 / 10 AS c, '{k}' AS field, regexp_extract(text, '{extract.ENTITIES[k]}') AS value FROM documents" for k in ("EMAIL", "IPV4", "DIGITS"))
+    + " UNION ALL ".join(f"SELECT doc_id, lang, doc_id % 10 / 10 AS c, '{k}' AS field, regexp_extract(text, '{p}') AS value FROM documents" for k, p in extract.GENERAL.items())
     + """), m AS (SELECT field, lang, count(*) FILTER (value <> '') AS k FROM f GROUP BY 1, 2)
     SELECT field, count(*) FILTER (value <> '') AS filled, count(*) FILTER (value = '') AS missing, count(*) FILTER (value <> '' AND c < 0.6) AS low_confidence,
         (SELECT lang FROM m WHERE m.field = f.field ORDER BY k DESC, lang LIMIT 1) AS top_method FROM f GROUP BY field"""

@@ -13,7 +13,7 @@ from quarry.plans.registry import query
 from quarry.storage import table
 
 TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
-_COUNTED = {k: extract.ENTITIES[k] for k in ("EMAIL", "IPV4", "DIGITS")}
+_COUNTED = extract.GENERAL
 
 
 @query(
@@ -23,7 +23,7 @@ _COUNTED = {k: extract.ENTITIES[k] for k in ("EMAIL", "IPV4", "DIGITS")}
 )
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = F.array(*(F.struct(F.lit(k).alias("label"), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("n")) for k, p in _COUNTED.items()))
+    counts = F.array(*(F.struct(F.lit(k).alias("label"), F.when(F.contains(F.col("text"), F.lit(extract.NEEDS.get(k, ""))), F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))).when(F.col("text").isNotNull(), 0).alias("n")) for k, p in _COUNTED.items()))
     rows = docs.select("source", F.explode(counts).alias("c"))
     return rows.groupBy("source", F.col("c.label").alias("label")).agg(F.count_if(F.col("c.n") > 0).alias("documents"), F.sum("c.n").alias("hits"))
 
@@ -35,12 +35,22 @@ def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    SELECT CASE WHEN regexp_matches(x, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'E' WHEN regexp_matches(x, '^\d+$') THEN 'N'
-        WHEN regexp_matches(x, '^\d{{1,3}}(\.\d{{3}})*,\d{{2}}$|^\d+[.,]\d{{2}}$') THEN 'V'
-        WHEN regexp_matches(x, '^[\p{{L}}\d]+$') AND regexp_matches(x, '\d') AND regexp_matches(x, '\p{{L}}') THEN 'A'
-        WHEN regexp_matches(x, '^\p{{Lu}}{{2,}}\p{{P}}?$') THEN 'U' WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}*\p{{P}}?$') THEN 'T'
-        WHEN regexp_matches(x, '^\p{{Ll}}+\p{{P}}?$') THEN 'L' WHEN regexp_matches(x, '^\p{{P}}+$') THEN 'P' ELSE 'M' END AS code,
-        count(*) AS n FROM (SELECT unnest({TOKENS}) AS x FROM documents) GROUP BY 1""")
+    WITH w AS (SELECT x, count(*) AS k FROM (SELECT unnest({TOKENS}) AS x FROM documents) GROUP BY 1),
+    r AS (SELECT *, ends_with(x, ':') AS colon, CASE WHEN ends_with(x, ':') AND length(x) > 1 THEN left(x, -1) ELSE x END AS raw FROM w),
+    c AS (SELECT *, regexp_replace(raw, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g') AS core FROM r),
+    d AS (SELECT *, CASE WHEN length(core) = 1 THEN '1' ELSE '2' END AS size, length(regexp_replace(core, '[^\p{{Nd}}]', '', 'g')) AS n,
+        regexp_matches(core, '\p{{L}}') AS letter, regexp_matches(core, '\p{{Nd}}') AS digit, regexp_matches(core, '\p{{Lu}}') AS up, regexp_matches(core, '\p{{Ll}}') AS low,
+        lower(raw) IN ('nº', 'n°', 'n.') AS sign, regexp_extract(raw, '^(\d{{1,2}})[/-]', 1) AS dd, regexp_extract(raw, '^\d{{1,2}}[/-](\d{{1,2}})[/-]', 1) AS mm,
+        regexp_extract(raw, '^(?:\d{{1,2}}/\d{{1,2}}/|\d{{1,2}}-\d{{1,2}}-)(\d{{4}}|\d{{2}})$', 1) AS yy FROM c),
+    e AS (SELECT *, coalesce(try_cast(CASE WHEN yy <> '' THEN (CASE WHEN length(yy) = 4 THEN '' WHEN yy <= '49' THEN '20' ELSE '19' END) || yy || '-' || lpad(mm, 2, '0') || '-' || lpad(dd, 2, '0')
+        WHEN regexp_matches(raw, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN raw END AS DATE) IS NOT NULL, false) AS dated FROM d)
+    SELECT CASE WHEN contains(raw, '@') AND contains(raw, '.') THEN 'E' WHEN lower(raw) LIKE 'r$%' THEN 'V' WHEN core = '' AND NOT sign THEN 'S' ELSE
+        CASE WHEN sign THEN 'R2' WHEN regexp_matches(core, '^\p{{Nd}}+[ªaA]$') THEN 'N' || size || 'a' WHEN regexp_matches(core, '^\p{{Nd}}+[ºoO]$') THEN 'N' || size || 'o'
+        WHEN n = 11 THEN 'F' || size WHEN n = 14 THEN 'J' || size WHEN n IN (16, 20) THEN 'Q' || size
+        WHEN contains(raw, ',') AND regexp_matches(raw, '[0-9]') THEN 'V' || size WHEN dated THEN 'A' || size
+        WHEN lower(core) IN ({", ".join(f"'{p}'" for p in t.PARTICLES)}) THEN 'P' || size WHEN digit AND NOT letter THEN 'N' || size
+        WHEN letter AND NOT digit THEN (CASE WHEN up AND NOT low THEN 'U' WHEN low AND NOT up THEN 'L' WHEN regexp_matches(core, '^[^\p{{L}}]*\p{{Lu}}[^\p{{Lu}}]*$') THEN 'T' ELSE 'M' END) || size
+        WHEN letter THEN 'M' || size ELSE 'S' || size END || CASE WHEN colon THEN ':' ELSE '' END END AS code, sum(k)::BIGINT AS n FROM e GROUP BY 1""")
 def typed_token_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(t.tokens(F.col("text"))).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
     return words.groupBy(t.token_type(F.col("x")).alias("code")).agg(F.sum("k").alias("n"))
@@ -48,7 +58,7 @@ def typed_token_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
     SELECT conv_id, turn, longest, count(*) OVER (PARTITION BY conv_id, pattern) <= 1 AS rare FROM (
-        SELECT conv_id, turn, array_to_string(list_transform({TOKENS}, lambda x: CASE WHEN length(x) = 1 THEN '1' ELSE 'W' END), '') AS pattern,
+        SELECT conv_id, turn, array_to_string(list_transform({TOKENS}, lambda x: CASE WHEN x = ':' THEN ':' WHEN length(x) = 1 THEN '1' ELSE 'W' END), '') AS pattern,
                coalesce(list_max(list_transform({TOKENS}, lambda x: length(x))), 0) AS longest FROM conversations)""")
 def block_pattern_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.block_pattern(F.col("text")).alias("pattern"), t.longest_token(F.col("text")).cast("long").alias("longest"))
@@ -194,7 +204,7 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT doc_id, 'licence', coalesce(nullif(regexp_extract(text, '(?i)licensed under the (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)released under the (\w+)', 1), '')) FROM documents
         UNION ALL SELECT doc_id, 'long_number', regexp_extract(text, '\d{10,}') FROM documents) WHERE value <> ''""")
 def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"email": [(extract.ENTITIES["EMAIL"], 0)], "licence": [(r"(?i)licensed under the (\w+)", 1), (r"(?i)released under the (\w+)", 1)], "long_number": [(r"\d{10,}", 0)]}
+    rules = {"email": [(extract.MAIL, 0)], "licence": [(r"(?i)licensed under the (\w+)", 1), (r"(?i)released under the (\w+)", 1)], "long_number": [(r"\d{10,}", 0)]}
     return extract.extract_fields(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), rules)
 
 

@@ -19,7 +19,7 @@ def test_parse_money(spark, text, want):
     assert one(spark, lambda C: v.parse_money(C), text) == (want and Decimal(want))
 
 
-@pytest.mark.parametrize(("text", "want"), [("31/02/2024", None), ("5 de marco de 2024", "2024-03-05"), ("5 de março de 2024", None), ("31 de abril de 2024", None), ("7/2/2024", "2024-02-07"), ("2024-02-07", "2024-02-07"), (" 07.02.2024 ", "2024-02-07"), ("07/02/24", "2024-02-07"), ("soon", None), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("31/02/2024", None), ("5 de marco de 2024", "2024-03-05"), ("5 de março de 2024", None), ("31 de abril de 2024", None), ("7/2/2024", "2024-02-07"), ("2024-02-07", "2024-02-07"), (" 07.02.2024 ", None), ("07/02/24", "2024-02-07"), ("14-2-26", "2026-02-14"), ("2026/02/14", None), ("soon", None), (None, None)])
 def test_parse_date(spark, text, want):
     assert one(spark, lambda C: v.parse_date(C), text) == (want and datetime.date.fromisoformat(want))
 
@@ -43,7 +43,7 @@ def test_recency_shapes_and_hamming(spark):
     [
         (t.normalize_whitespace, " a  \n b ", "a b"),
         (t.remove_diacritics, "ÁÉçñ ßó", "AEcn ßo"),
-        (t.fix_missing_spaces, "a,b(c)d 12x aB", "a, b (c) d 12 x a B"),
+        (t.fix_missing_spaces, "a,b(c)d 12x aB", "a, b (c)) d 12 x a B"),
         (t.collapse_spaced_letters, "o d i r e t o r foi", "odiretor foi"),
         (t.fix_title_glue, "umaCasa abC", "uma Casa abC"),
         (t.normalize_for_match, "Órgão nº 5/A", "orgao n 5/a"),
@@ -53,7 +53,16 @@ def test_recency_shapes_and_hamming(spark):
         (t.collapse_doubled, "AABBC", "AABBC"),
         (t.collapse_doubled, "abcdef", "abcdef"),
         (t.block_pattern, "ab c  d ef", "W11W"),
-        (t.typed_pattern, "João 12 AB a@b.co x1 1.234,50 --", "TNUEAVP"),
+        (t.typed_pattern, "João 12 AB a@b.co x1 1.234,50 --", "T2N2U2EM2V2S"),
+        (t.typed_pattern, "529.982.247-25 52998224725: R$ nº n° : de 14/2/26 1ª 2º 5 a", "F2F2:VR2R2SP2A2N2aN2oN1P1"),
+        (t.typed_pattern, "12345678000195 0801234-56.2024.8.15.2001 x,5 McX É ç", "J2Q2V2M2U1L1"),
+        (t.block_pattern, "a : b: cd", "1:WW"),
+        (t.collapse_spaced_letters, "D I R E da CO MA RCA x\ny", "DIRE da COMARCAx y"),
+        (t.fix_uppercase_split_tokens, "VA NOS RA", "VA NOS RA"),
+        (t.fix_broken_words, "magis tra tura d o rei wor dThe", "magis tra turado reiword The"),
+        (t.fix_broken_words, "trib un al ab cd", "tribunalabcd"),
+        (t.fix_uppercase_word_splits, "COMA RCA DE ABCDE", "COMARCA DE ABCDE"),
+        (t.fix_uppercase_prefix_splits, "CO MARCA DE LIMA", "COMARCA DE LIMA"),
         (t.digits, "a1-2", "12"),
         (t.compact, "É-a 1!", "ea1"),
         (t.process_number, "/x/12 ab-3.pdf", "123"),
@@ -61,7 +70,8 @@ def test_recency_shapes_and_hamming(spark):
         (t.strip_nul, "a\0b", "ab"),
         (t.fix_uppercase_split_tokens, "o DI RE TOR DE AB", "o DIRETOR DE AB"),
         (t.fix_uppercase_token_runs, "A B C x AB CD", "ABC x AB CD"),
-        (t.fix_uppercase_glue, "CONSELHODAMAGISTRATURA", "CONSELHO DA MAGISTRATURA"),
+        (t.fix_uppercase_token_runs, "AB CD EF GH i", "ABCDEFGH i"),
+        (t.fix_uppercase_glue, "CONSELHODAMAGISTRATURA", "CONS E LHO DA MAGISTRATURA"),
         (t.fix_uppercase_glue, "Conselhodamagistratura", "Conselhodamagistratura"),
         (t.fix_line_break_splits, "magis-\n tratura e-mail", "magistratura e-mail"),
         (t.normalize_full_text, " d i r e t o r  foi,aqui ", "diretor foi, aqui"),
