@@ -13,10 +13,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys holding at least 1/HOT_SHARE of all rows are hot. There can be at most
-#: HOT_SHARE of them, whatever the data, so their list is always safe to broadcast.
-HOT_SHARE = 1024
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,20 +57,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their group, without gathering a hot group in one task.
 
-    ``groups`` has one row per ``key`` with its row count in ``size``. A group of over
-    1/HOT_SHARE of all rows is cut into slices by the hash ``spread`` of its rows, and
-    its one group row is repeated once a slice; all other groups join as they are.
+    ``groups`` has one row per ``key`` and must be read from a table (``Scratch.keep``): then
+    both sides are shuffled for this join alone, and adaptive execution cuts the partition of
+    a hot key into slices and sends the one group row to each.
     """
-    total = groups.agg(F.sum(size).alias("total")).scalar()
-    slices = F.ceil(F.col(size) * HOT_SHARE / total).cast("int")
-    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE >= total).select(F.col(key).alias("_hot"), slices.alias("_slices")))
-    n = F.coalesce("_slices", F.lit(1))
-    left = rows.join(hot, rows[key].eqNullSafe(F.col("_hot")), "left").withColumn("_slice", F.pmod(spread, n).cast("int")).drop("_hot", "_slices")
-    right = groups.join(hot, groups[key].eqNullSafe(F.col("_hot")), "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_slices")
-    return left.join(right, [key, "_slice"], how).drop("_slice")
+    return rows.join(groups, key, how)
 
 
 #: Words of 64 bits in a key filter: a fixed 1 MB, whatever the number of keys.
