@@ -57,7 +57,7 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their group, without gathering a hot group in one task.
 
     ``groups`` has one row per ``key`` and must be read from a table (``Scratch.keep``): then
