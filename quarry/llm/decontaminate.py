@@ -89,8 +89,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     is contaminated if n_hit > 0 and ``share`` * n_hit >= n_words. Words are compared with
     A-Z lower-cased.
 
-    Null and empty texts have no words and are not contaminated. Items with equal texts all
-    count; repeated item ids count once. Documents with equal ids are told apart and each
+    Null and empty texts have no words and are not contaminated; very long ones are read whole.
+    Items with equal texts all count; repeated item ids count once, and a null item id is the
+    empty one. Documents with equal ids are told apart and each
     get their row. Without items or documents the result has no hits or no rows. Other
     columns are ignored.
     """
@@ -112,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = batch.column("item").take(pa.array(of[good]))
             yield pa.RecordBatch.from_arrays([rows, pa.array(fp[good].view(np.int64)), pa.array(at[good]), pa.array(size_of_run[good])], names=["item", "fp", "ipos", "length"])
 
-    items = scratch.keep(benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")).distinct(), "items")
+    items = scratch.keep(benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item"), benchmark[item_text_col].cast("string").alias("text")).distinct(), "items")
     prints = scratch.keep(map_batches(items, item_prints, "item string, fp long, ipos long, length long"), "prints")
     lengths = sorted(r[0] for r in prints.select("length").where("length > 0").distinct().collect())  # under span values
     sieve = spark.sparkContext.broadcast(_sieve(prints))

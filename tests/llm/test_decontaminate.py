@@ -66,3 +66,11 @@ def test_empty_tables(spark):
     docs, items = case()
     assert got(spark, [], items) == []
     assert got(spark, docs, []) == brute(docs, [])
+
+
+def test_null_item_id(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), ("a", text + " end"), ("b", None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (20, 2, ["", "a"], True), 2: (0, 0, [], False)}
