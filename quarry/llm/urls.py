@@ -45,9 +45,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     """(kind, host, score): personalised PageRank by kind.
 
     edges (kind, src, dst, weight): weights of a source's links add up to 1 in each kind.
-    seeds (kind, host, mass): add up to 1 in each kind. Ends once no score moves by
-    ``tolerance``: moves shrink by ``damping`` a round, so rounds are bounded by it (100 by default). The mass that hosts without links would pass on is lost.
+    seeds (kind, host, mass): add up to 1 in each kind. Ends once a round reaches no further host
+    and moves no score by ``tolerance`` of its kind's mean seed, so neither the length of a chain
+    nor the number of seeds decides what a host gets. Moves shrink by ``damping`` a round: rounds
+    are as many as the longest way from a seed has links, or what the tolerance takes (100 by
+    default), if that is more. The mass that hosts without links would pass on is lost.
     """
+    means = seeds.groupBy("kind").agg(F.avg("mass").alias("mean"))  # a row for each kind
     base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
     now = scratch.keep(base, "scores0")
     for turn in count(1):
@@ -55,10 +59,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
         summed = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         new = scratch.keep(summed, f"scores{turn}")
         old = now.withColumnRenamed("score", "old")
-        moved = new.join(old, ["kind", "host"], "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        both = new.join(old, ["kind", "host"], "left").join(F.broadcast(means), "kind")
+        moved, fresh = both.agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) / F.col("mean")), F.count_if(F.col("old").isNull())).first()
         scratch.drop(f"scores{turn - 1}")
         now = new
-        if moved is None or moved < tolerance:
+        if moved is None or (not fresh and moved < tolerance):
             break
     return now
 

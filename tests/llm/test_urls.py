@@ -83,5 +83,17 @@ def test_long_chain(spark):
 
     edges = spark.createDataFrame([("block", f"h{i}", f"h{i + 1}", 1.0) for i in range(22)], "kind string, src string, dst string, weight double")
     seeds = spark.createDataFrame([("block", "h0", 1.0)], "kind string, host string, mass double")
-    got = {r.host: r.score for r in propagate(edges, seeds, Scratch(spark, "chain"), damping=0.5).collect()}
+    got = {r.host: r.score for r in propagate(edges, seeds, Scratch(spark, "chain"), damping=0.5, tolerance=0.1).collect()}
     assert got.keys() == {f"h{i}" for i in range(23)} and abs(got["h22"] - 0.5**23) < 1e-12
+
+
+def test_number_of_seeds_decides_nothing(spark):
+    from quarry.llm.urls import propagate
+    from quarry.storage import Scratch
+
+    edges = spark.createDataFrame([("block", f"h{i}", f"h{i + 1}", 1.0) for i in range(6)], "kind string, src string, dst string, weight double")
+    few = spark.createDataFrame([("block", "h0", 1.0)], "kind string, host string, mass double")
+    many = spark.range(200_000).selectExpr("'block' AS kind", "if(id = 0, 'h0', concat('s', id)) AS host", "1 / 200000.0D AS mass")
+    a, b = ({r.host: r.score for r in propagate(edges, s, Scratch(spark, "seeds")).where("host like 'h%'").collect()} for s in (few, many))
+    assert a.keys() == b.keys() == {f"h{i}" for i in range(7)}
+    assert all(abs(a[h] - b[h] * 200_000) < 1e-6 for h in a)
