@@ -40,8 +40,10 @@ SIEVE_BITS = 27
 BUCKET_BYTES = 8 << 20
 #: Bytes of a trigger's hash that the sieve is made from.
 SHORT = 5
-#: Bytes handled at a time; longer texts are cut, with an overlap of one string.
-PIECE = 1 << 20
+#: Bytes handled at a time, few enough for a core's cache; longer texts are cut, with an overlap of one string.
+PIECE = 1 << 18
+#: Rows of buckets sorted at a time, and phrases of a bucket from which on its strings are spread over the cluster.
+SORTED, HOT_PHRASES = 5_000, 20_000
 
 
 def gram_values(data: np.ndarray) -> np.ndarray:
@@ -254,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dictionary = scratch.keep(dictionary, "dictionary")
 
     # Only triggers of several phrases need the phrases themselves: a second sieve, and a second pass.
-    several = scratch.keep(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1").select("trigger"), "several")
+    several = scratch.keep(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1"), "several")
     place = F.call_function("shiftrightunsigned", F.col("trigger"), F.lit(64 - SIEVE_BITS))
     slots = several.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("b"))
     second = np.zeros(1 << SIEVE_BITS - 6, np.int64)
@@ -278,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(found.values()), pa.binary())], names=["trigger", "name", "phrase"])
 
     spelt = map_batches(long_rows.select("text"), spell, "trigger long, name long, phrase binary").groupBy("trigger", "name").agg(F.min("phrase").alias("phrase"))
-    spelt = dictionary.join(several, "trigger", "left_semi").join(spelt, ["trigger", "name"])
+    spelt = scratch.keep(join_groups(dictionary, several, "trigger").join(spelt, ["trigger", "name"]).select("trigger", "name", "least", "phrase", "k"), "spelt")
 
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by trigger. inner: bits of the strings that a smaller document has in another phrase."""
@@ -296,8 +298,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             counts = np.array([len(p) - length + 1 for p in phrases])
             of = np.repeat(np.arange(len(phrases)), counts)
             offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            suffixes = np.array([p[o : o + length] for p, n in zip(phrases, counts.tolist()) for o in range(n)], dtype=f"V{length}")
-            _, group = np.unique(suffixes, return_inverse=True)  # sorted suffixes, cut at the string's length
+            data, begin = np.frombuffer(b"".join(phrases), np.uint8), np.cumsum(counts + length - 1) - (counts + length - 1)
+            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[begin[of] + offset])
+            _, group = np.unique(suffixes.view(f"V{length}").ravel(), return_inverse=True)  # sorted suffixes, cut at the string's length
             smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(smallest, group, least[of])
             inner = np.zeros(len(phrases), np.int64)
@@ -310,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if batch.num_rows:
                 held.append(batch)
                 count += batch.num_rows
-            if count >= 20_000:
+            if count >= SORTED:
                 table = pa.Table.from_batches(held)
                 trigger = table.column("trigger").to_numpy()
                 edge = np.flatnonzero(trigger[1:] != trigger[:-1])
@@ -320,12 +323,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    ordered = spelt.select("trigger", "name", "least", "phrase").repartition("trigger").sortWithinPartitions("trigger")
+    hot = F.col("k") > HOT_PHRASES
+    ordered = spelt.where(~hot).select("trigger", "name", "least", "phrase").repartition("trigger").sortWithinPartitions("trigger")
     inner = map_batches(ordered, order, "trigger long, name long, inner long")
+
+    def strings_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, phrase in enumerate(batch.column("phrase").to_pylist()):
+                n = len(phrase) - length + 1
+                high, low = np.frombuffer(b"".join([xxhash.xxh3_128_digest(phrase[o : o + length]) for o in range(n)]), "<i8").reshape(-1, 2).T
+                take = pa.array(np.full(n, row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("trigger", "name", "least")), pa.array(np.arange(n)), pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low))], names=["trigger", "name", "least", "o", "high", "low"])
+
+    # A bucket of very many phrases is not sorted in one place: its strings meet by 128-bit hashes, summed up on the way.
+    strings = scratch.keep(map_batches(spelt.where(hot), strings_of, "trigger long, name long, least long, o long, high long, low long"), "strings")
+    smallest = scratch.keep(strings.groupBy("high", "low").agg(F.min("least").alias("first")), "smallest")
+    earlier = join_groups(strings, smallest, ["high", "low"]).where("first < least")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("o").cast("int"))
+    inner = inner.unionByName(earlier.groupBy("trigger", "name").agg(F.bit_or(bit).alias("inner")))
     known = dictionary.join(inner, ["trigger", "name"], "left").where("n > 1 or inner is not null")
     key = F.struct("trigger", "name").alias("key")
     known = scratch.keep(known.select(key, "least", "n", F.coalesce("inner", F.lit(0).cast("long")).alias("inner")), "known")
-    scratch.drop("dictionary", "several")
+    scratch.drop("dictionary", "several", "spelt", "strings", "smallest")
 
     found = parsed.select("id", "tag", "at", key, "strings")
     found = join_groups(found.where(may_be_in(key_filter(known, "key"), F.col("key"))), known, "key")

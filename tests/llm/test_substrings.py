@@ -43,9 +43,12 @@ def case():
     return rows
 
 
-@pytest.mark.parametrize("piece", [substrings.PIECE, 97])
-def test_against_brute_force(spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "phrase", "hot"), [(substrings.PIECE, substrings.PHRASE, substrings.HOT_PHRASES), (97, 16, 1), (substrings.PIECE, 1 << 30, 2)])
+def test_against_brute_force(spark, monkeypatch, piece, phrase, hot):
+    """Also with short phrases and pieces, with none but whole texts as phrases, and with all buckets hot."""
     monkeypatch.setattr(substrings, "PIECE", piece)
+    monkeypatch.setattr(substrings, "PHRASE", phrase)
+    monkeypatch.setattr(substrings, "HOT_PHRASES", hot)
     rows = case()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, tag int, hits string").repartition(3)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect())
@@ -55,3 +58,18 @@ def test_against_brute_force(spark, monkeypatch, piece):
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string")).first().n_bytes == 0
+
+
+@pytest.mark.parametrize("length", [28, 91])
+def test_other_lengths(spark, length):
+    rows = case()[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, length=length).collect())
+    assert got == brute(rows, length)
+
+
+def test_refused_input(spark):
+    with pytest.raises(ValueError, match="length is 28 to 91"):
+        remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=92)
+    with pytest.raises(TypeError, match="integer id"):
+        remove_repeats(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
