@@ -101,3 +101,31 @@ def test_short_near_copies(spark):
     assert all(alike(rows[k][1], rows[k + 1][1]) for k in range(0, 80, 2))
     near = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert set(range(40)) <= near and len(near) <= 40 + 8
+
+
+def test_odd_rows_in_each_stage(spark, tmp_path):
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(1, None), (2, ""), (3, "some clean words here"), (3, "some clean words here"), (None, "a null id with words of its own"), (4, long), (5, " ".join(word() for _ in range(30)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, tag string, line int, h string, fp string, key long, item string, row int, votes string, c0 int"
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "t", 2, "h", "f", 3, "i", 4, "v", 5) for i, t in rows], schema)
+    item = " ".join(long.split()[100:140])
+    spark.createDataFrame([(9, item), (10, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    shown = lambda df: sorted((str(r.doc_id), None if r.text is None else len(r.text)) for r in df.collect())
+    everything = shown(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "bpe":
+            assert sorted((str(r.doc_id), r.n_tokens > 0) for r in out.collect()) == sorted((i, bool(n)) for i, n in everything)
+            continue
+        assert out.columns == docs.columns
+        got = shown(out)
+        if name in ("toxicity", "line_dedup"):
+            assert got == everything
+        elif name == "near_dedup":
+            assert got == sorted(x for x in everything if x[0] != "2")  # the empty text is a copy of the null one
+        else:
+            assert got == everything  # 40 words of 60,000 are under a twentieth

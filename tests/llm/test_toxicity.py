@@ -73,3 +73,46 @@ def test_label_model_recovers_precisions():
     want = [(toxic & votes[:, j]).sum() / votes[:, j].sum() for j in range(4)]
     assert np.abs(model.precision[:4] - want).max() < 0.1
     assert (model.share[4:] == 0).all()
+
+
+def plain_votes(model, text):
+    """The votes of a text, by the voters' definition, one at a time."""
+    import re
+
+    from quarry.llm.line_dedup import FOLD
+    from quarry.llm.toxicity import PATTERNS, STEM_EVERY
+
+    raw = (text or "").encode()
+    words = raw.translate(FOLD).split()
+    out = [term in words for term in model.terms]
+    for stem in model.stems:
+        for third in range(3):
+            part = words[len(words) * third // 3 : len(words) * (third + 1) // 3]
+            hits = [w for w in part if w.startswith(stem)]
+            out.append(bool(hits) and len(hits) * STEM_EVERY >= len(part))
+    return np.array([*out, *(re.search(p, raw) is not None for p in PATTERNS.values())])
+
+
+def test_against_brute_force(spark):
+    """The label model from a matrix of all votes, and every score from the weights, both written out plainly."""
+    from itertools import combinations
+
+    from quarry.llm.toxicity import DIMENSIONS, FOLD
+
+    rows, labels = corpus()
+    rows += [(10_000, None), (10_001, ""), (10_002, "you idiot " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    votes = np.array([plain_votes(model, t) for _, t in rows])
+    single = votes.sum(axis=0)
+    fired = [i for i in range(model.voters) if single[i]]
+    pairs = {(j, k): n for j, k in combinations(fired, 2) if (n := int((votes[:, j] & votes[:, k]).sum()))}
+    triples = {x: n for x in combinations(fired, 3) if (n := int(votes[:, list(x)].all(axis=1).sum()))}
+    again = Model(model.terms, model.stems, model.prior)
+    again.learn_accuracies(len(rows), single, pairs, triples)
+    assert np.allclose(again.precision, model.precision) and np.allclose(again.share, model.share)
+    got = {r.doc_id: r.score for r in score(docs, model).collect()}
+    for (i, text), row in zip(rows, votes):
+        hashed = {crc32(w) % DIMENSIONS for w in set((text or "").encode().translate(FOLD).split())}
+        logit = model.bias + model.weights[: model.voters][row].sum() + sum(model.weights[model.voters + h] for h in hashed) / max(1, len(hashed)) ** 0.5
+        assert abs(got[i] - 1 / (1 + np.exp(-min(30.0, max(-30.0, logit))))) < 1e-9
