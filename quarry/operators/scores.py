@@ -95,3 +95,8 @@ def probe(value: Column, page: Column) -> Column:
 def probe_summary(probes: DataFrame, group: str, method: str) -> DataFrame:
     found = F.count_if(F.col(method).isNotNull())
     return probes.groupBy(group).agg(F.count("*").alias("checked"), found.alias("found"), F.count_if(F.col(method).isNull()).alias("missing"))
+
+
+def page_averages(pages: DataFrame, keys: list[str], averages: dict[str, Column], sums: dict[str, Column], digits: int = 4) -> DataFrame:
+    """Per key: pages, averages of the page values (rounded), and sums."""
+    return pages.groupBy(*keys).agg(F.count("*").alias("pages"), *(F.round(F.avg(c), digits).alias(n) for n, c in averages.items()), *(F.sum(c).alias(n) for n, c in sums.items()))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quarry.plans import check_queries, join_queries, ordered_queries, record_queries, rule_queries, score_queries, text_queries  # noqa: E402, F401
+from quarry.plans import check_cases, check_queries, join_queries, ordered_queries, record_queries, rule_queries, score_queries, text_queries  # noqa: E402, F401
