@@ -16,30 +16,42 @@ def scan_summary(pages: DataFrame, group: str, words: str, images: str) -> DataF
     return pages.groupBy(group).agg(F.count("*").alias("pages"), F.sum(words).alias("words"), scanned.alias("scanned"), ratio.alias("scan_ratio"), (ratio >= 90).alias("is_scanned"))
 
 
-def upper_quantile(values: DataFrame, group: str, value: str, share: float | None = None) -> DataFrame:
-    """group, n, quantile: the value at place n div 2 (upper median), or floor(share * (n - 1)), from 0.
+def upper_quantiles(values: DataFrame, group: str, value: str, shares: dict[str, float | None]) -> DataFrame:
+    """group, n and a column for each share: the value at place floor(share * (n - 1)), or n div 2 for None (upper median), from 0.
 
-    Ranked by a window, so a group is sorted on disk if it must be, not gathered in a row.
+    Ranked by one window, so a group is sorted once, and on disk if it must be, not gathered in a row.
     """
     w = W.partitionBy(group)
-    place = F.floor(F.col("_n") / 2) if share is None else F.floor(F.lit(share) * (F.col("_n") - 1))
     ranked = values.select(group, value).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    return ranked.where(F.col("_i") == place).select(group, F.col("_n").alias("n"), F.col(value).alias("quantile"))
+    place = {name: F.floor(F.col("_n") / 2) if share is None else F.floor(F.lit(share) * (F.col("_n") - 1)) for name, share in shares.items()}
+    return ranked.groupBy(group, F.col("_n").alias("n")).agg(*(F.max(F.when(F.col("_i") == at, F.col(value))).alias(name) for name, at in place.items()))
+
+
+def upper_quantile(values: DataFrame, group: str, value: str, share: float | None = None) -> DataFrame:
+    """group, n, quantile: one of ``upper_quantiles``."""
+    return upper_quantiles(values, group, value, {"quantile": share})
 
 
-def two_means(values: DataFrame, value: str, rounds: int = 50, epsilon: float = 1e-6) -> tuple[float, float, float, int, int]:
-    """Two clusters on a line, begun at least and greatest value: low, high, cut, counts. Each round is one aggregate."""
-    low, high = (float(x) if x is not None else 0.0 for x in values.agg(F.min(value), F.max(value)).first())
+def two_means(values: DataFrame, value: str, rounds: int = 50, epsilon: float = 1e-6) -> tuple[float, float, float, int, int, bool]:
+    """Two clusters on a line, begun at least and greatest value: low, high, cut, counts, and whether the centres had come to rest.
+
+    Values are counted once; each of at most ``rounds`` rounds is one aggregate over the distinct ones.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("k")).cache()
+    low, high = (x if x is not None else 0.0 for x in counted.agg(F.min("x"), F.max("x")).first())
     below = above = 0
+    resting = False
     for _ in range(rounds):
-        near = F.abs(F.col(value) - low) <= F.abs(F.col(value) - high)
-        a, b, below, above = values.agg(F.avg(F.when(near, F.col(value))), F.avg(F.when(~near, F.col(value))), F.count_if(near), F.count_if(~near)).first()
-        new = (low if a is None else float(a), high if b is None else float(b))
+        near = F.abs(F.col("x") - low) <= F.abs(F.col("x") - high)
+        mean = lambda c: F.sum(F.when(c, F.col("x") * F.col("k"))) / F.sum(F.when(c, F.col("k")))
+        a, b, below, above = counted.agg(mean(near), mean(~near), F.coalesce(F.sum(F.when(near, F.col("k"))), F.lit(0)), F.coalesce(F.sum(F.when(~near, F.col("k"))), F.lit(0))).first()
+        new = (low if a is None else a, high if b is None else b)
         moved = max(abs(new[0] - low), abs(new[1] - high))
         low, high = new
-        if moved < epsilon:
+        if resting := moved < epsilon:
             break
-    return low, high, (low + high) / 2, below, above
+    counted.unpersist()
+    return low, high, (low + high) / 2, below, above, resting
 
 
 def keyword_score(text: Column, every: list[str], some: list[str]) -> Column:
@@ -75,11 +87,14 @@ def coverage(fields: DataFrame, field: str, value: str, method: str, confidence:
 
 
 def resolve_fields(candidates: DataFrame, key: list[str], value: str, priority: Column, confidence: str, order: str, strict: bool = False) -> DataFrame:
-    """One candidate per key: by priority, confidence, then order. ``strict`` marks keys with several values AMBIGUOUS."""
+    """One candidate per key: by priority, confidence, then order; resolved, confidence, values, strict_value.
+
+    ``strict_value`` is AMBIGUOUS where a key has several values; with ``strict``, so is ``resolved``.
+    """
     same = F.lower(F.trim(value))
     best = candidates.withColumn("_p", priority).groupBy(*key).agg(F.max_by(F.struct(value, confidence), F.struct("_p", confidence, -F.col(order))).alias("m"), F.count_distinct(same).alias("values"))
-    chosen = F.when((F.col("values") > 1) & F.lit(strict), "AMBIGUOUS").otherwise(F.col(f"m.{value}"))
-    return best.select(*key, chosen.alias("resolved"), F.col(f"m.{confidence}").alias("confidence"), "values")
+    sure = F.when(F.col("values") > 1, "AMBIGUOUS").otherwise(F.col(f"m.{value}"))
+    return best.select(*key, (sure if strict else F.col(f"m.{value}")).alias("resolved"), F.col(f"m.{confidence}").alias("confidence"), "values", sure.alias("strict_value"))
 
 
 def probe(value: Column, page: Column) -> Column:

@@ -42,7 +42,13 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"), kind.alias("kind"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_type = 'error' THEN 'UNKNOWN' ELSE event_type END AS kind FROM events),
+    s AS (SELECT user_id, n, kind AS k, n AS first, 1 AS size, 0 AS seg FROM t WHERE n = 1
+        UNION ALL SELECT t.user_id, t.n, CASE WHEN j THEN s.k ELSE t.kind END, CASE WHEN j THEN s.first ELSE t.n END, CASE WHEN j THEN s.size + 1 ELSE 1 END, CASE WHEN j THEN s.seg ELSE s.seg + 1 END
+        FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1, LATERAL (
+            SELECT (t.kind = s.k OR (t.kind = 'UNKNOWN' AND s.k <> 'UNKNOWN')) AND s.size < CASE s.k WHEN 'click' THEN 3 WHEN 'view' THEN 3 WHEN 'purchase' THEN 2 ELSE 2147483647 END AS j) l)
+    SELECT user_id, seg AS segment, k AS kind, first, max(n) AS last, max(size)::BIGINT AS rows FROM s GROUP BY user_id, seg, k, first""")
 def type_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.type_runs(_typed(spark, sf_dir), "user_id", "n", "kind", {"click": 3, "view": 3, "purchase": 2})
 

@@ -24,15 +24,20 @@ def scan_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_suppkey, n, list_extract(q, (n // 2 + 1)::INTEGER) AS median, list_extract(q, (floor(0.9 * (n - 1)) + 1)::INTEGER) AS p90
     FROM (SELECT l_suppkey, count(*) AS n, list_sort(list(l_extendedprice)) AS q FROM lineitem GROUP BY 1)""")
 def upper_median_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    median = scores.upper_quantile(rows, "l_suppkey", "l_extendedprice").withColumnRenamed("quantile", "median")
-    return median.join(scores.upper_quantile(rows, "l_suppkey", "l_extendedprice", 0.9).select("l_suppkey", F.col("quantile").alias("p90")), "l_suppkey")
+    return scores.upper_quantiles(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice", {"median": None, "p90": 0.9})
 
 
-@query()
+@query("""
+    WITH RECURSIVE s(i, low, high, below, above, moved) AS (
+        SELECT 0, min(value), max(value), 0::BIGINT, 0::BIGINT, 1e9::DOUBLE FROM events
+        UNION ALL SELECT i + 1, coalesce(a.lo, low), coalesce(a.hi, high), a.b, a.c, greatest(abs(coalesce(a.lo, low) - low), abs(coalesce(a.hi, high) - high)) FROM s, LATERAL (
+            SELECT avg(value) FILTER (abs(value - s.low) <= abs(value - s.high)) AS lo, avg(value) FILTER (abs(value - s.low) > abs(value - s.high)) AS hi,
+                count(*) FILTER (abs(value - s.low) <= abs(value - s.high)) AS b, count(*) FILTER (abs(value - s.low) > abs(value - s.high)) AS c FROM events) a WHERE moved >= 1e-6 AND i < 50)
+    SELECT round(low, 4) AS low, round(high, 4) AS high, round((low + high) / 2, 4) AS cut, below, above, moved < 1e-6 AS resting FROM s ORDER BY i DESC LIMIT 1""")
 def two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scores.two_means(table(spark, sf_dir, "events").select("value"), "value")
-    return spark.createDataFrame([found], "low double, high double, cut double, below long, above long")
+    out = spark.createDataFrame([found], "low double, high double, cut double, below long, above long, resting boolean")
+    return out.withColumns({c: F.round(c, 4) for c in ("low", "high", "cut")})
 
 
 _KINDS = {"licence": (["under the"], ["licen", "released"]), "secret": ([], ["token =", "password"]), "marked": (["###"], ["***", "%%%"])}
@@ -100,8 +105,7 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("value"), "l_linestatus", F.floor(F.col("l_discount") * 100).alias("c"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("o"))
     priority = F.when(F.col("l_linestatus") == "F", 3).otherwise(1)
-    strict = scores.resolve_fields(lines, ["l_orderkey"], "value", priority, "c", "o", strict=True).select("l_orderkey", F.col("resolved").alias("strict_value"))
-    return scores.resolve_fields(lines, ["l_orderkey"], "value", priority, "c", "o").select("l_orderkey", F.col("resolved").alias("value"), "values").join(strict, "l_orderkey")
+    return scores.resolve_fields(lines, ["l_orderkey"], "value", priority, "c", "o").select("l_orderkey", "strict_value", F.col("resolved").alias("value"), "values")
 
 
 @query("""

@@ -156,7 +156,7 @@ def test_scores(spark):
     pages = spark.createDataFrame([(1, 0, 1)] + [(1, 5, 0)] * 7 + [(2, 0, 1)] * 9 + [(2, 1, 0)], "d int, words int, images int")
     assert {r.d: (float(r.scan_ratio), r.is_scanned) for r in scores.scan_summary(pages, "d", "words", "images").collect()} == {1: (12.5, False), 2: (90.0, True)}
     values = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10, 11, 12)], "v double")
-    assert scores.two_means(values, "v") == (2.0, 11.0, 6.5, 3, 3)
+    assert scores.two_means(values, "v") == (2.0, 11.0, 6.5, 3, 3, True)
     probes = spark.createDataFrame([("00.000.001-91", "x 0000000191 y"), ("Órgão A", "no orgao  a"), ("ab-cd ef", "ABCDEF"), ("zz", "y"), ("12", "1 2")], "v string, p string")
     assert [r[0] for r in probes.select(scores.probe(F.col("v"), F.col("p"))).collect()] == ["digits", "normalized", "compact", None, None]
     kinds = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (2, "A", 1), (2, "B", 1), (3, "UNKNOWN", 9)], "d int, k string, s int")
