@@ -190,3 +190,63 @@ def classify_titles(titles: DataFrame, title: str, exact: DataFrame, rules: list
     joined = titles.withColumn("_t", plain).join(known, "_t", "left").drop("_t")
     named = [F.coalesce(F.col(f"_k.{n}"), c).alias(n) for n, c in (("canon", canon), ("macro", macro), ("subcat", sub))]
     return joined.select(*(joined[c] for c in titles.columns), *named)
+
+
+#: What a marked or short block stands for, by a part of its letters; the first that occurs counts.
+ANCHOR_HINTS = [
+    ("PROCESSOADMIN", "processo administrativo"), ("PROCESSO_ADMIN", "processo administrativo"), ("PROCESSOJUDICIAL", "processo judicial"), ("PROCESSO_JUDICIAL", "processo judicial"), ("VARA", "vara"), ("COMARCA", "comarca"),
+    ("CPF", "cpf"), ("PERITO", "perito"), ("PROMOVENTE", "movido por"), ("PROMOVIDO", "em face de"), ("ESPECIALIDADE", "especialidade"), ("ESPECIE", "pericia"), ("PERICIA", "pericia"), ("VALOR", "valor r"),
+    ("TRIBUNAL", "tribunal de justica"), ("DIRETORIA", "diretoria especial"), ("ASSINATURA", "assinatura"), ("ENCAMINHE", "encaminhe se"), ("DATA", "data"),
+]
+#: Short texts that mark a place by themselves.
+CUES = ["vara", "comarca", "cpf", "perito", "especialidade", "pericia", "processo administrativo", "processo judicial", "movido por", "em face de", "valor r", "data"]
+
+
+def similarity_text(c: Column) -> Column:
+    """A block as it is compared: an anchor as what it stands for, else single blanks; lower case, each digit as #."""
+    text = normalize_whitespace(F.coalesce(c, F.lit("")))
+    plain = normalize_whitespace(F.regexp_replace(F.lower(remove_diacritics(text)), "[^a-z0-9_ ]", " "))
+    marked = text.rlike(r"<\s*[A-Za-z_][A-Za-z0-9_]*\s*>|(?i:ANC_|\[ANC|^ANC )") | F.contains(plain, F.lit("anc")) | plain.isin(*CUES)
+    letters = F.regexp_replace(F.upper(remove_diacritics(text)), r"[^\p{L}\p{Nd}_]", "")
+    token = F.regexp_replace(F.when(F.contains(letters, F.lit("ANC")), F.regexp_replace(letters, "^.*?ANC", "")).otherwise(letters), "^_+|_+$", "")
+    hint = F.lit("")
+    for part, name in reversed(ANCHOR_HINTS):
+        hint = F.when(F.contains(token, F.lit(part)), name).otherwise(hint)
+    return F.regexp_replace(F.lower(F.when(marked & (hint != ""), hint).otherwise(text)), r"\p{Nd}", "#")
+
+
+def find_pages(pages: DataFrame, file: str, page: str, text: str, pattern: str) -> DataFrame:
+    """(file, hits, pages, first, last): pages that match, in order, and the best pair: the first matching page that the next one follows.
+
+    Without a pair, first and last are the first match.
+    """
+    from pyspark.sql import Window as W
+
+    hit = pages.where(F.col(text).rlike(pattern)).select(file, page).distinct()
+    paired = hit.withColumn("_next", F.lead(page).over(W.partitionBy(file).orderBy(page)) == F.col(page) + 1)
+    grouped = paired.groupBy(file).agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(page)).alias("pages"), F.min(F.when(F.col("_next"), F.col(page))).alias("_p"))
+    return grouped.select(file, "hits", "pages", F.coalesce("_p", F.get("pages", F.lit(0))).alias("first"), F.coalesce(F.col("_p") + 1, F.get("pages", F.lit(0))).alias("last"))
+
+
+def select_page(pages: DataFrame, file: str, page: str, score: Column, size: str) -> DataFrame:
+    """The page of each file that scores best; of equals the one with the largest stream, then the first. Files without a score give none."""
+    from quarry.operators.assemble import best_of
+
+    return best_of(pages.withColumn("_score", score).where("_score > 0"), [file], "_score", [F.desc(size), page]).drop("_score")
+
+
+def best_per_kind(evidence: DataFrame, file: str, kind: str, strength: str, page: str) -> DataFrame:
+    """(file, kind, page, strength): for each kind found in a file its strongest page, the first of equals; unknown ones go."""
+    from quarry.operators.assemble import best_of
+
+    known = evidence.where((F.col(kind) != UNKNOWN) & F.col(kind).isNotNull()).select(file, kind, page, strength)
+    return best_of(known, [file, kind], strength, [page])
+
+
+def record_issues(values: Column, institutions: str) -> Column:
+    """Issues of a record's map, in order: a CPF of the wrong length, and institutions where a person or party belongs."""
+    get = lambda k: F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(""))
+    n = F.length(F.regexp_replace(get("CPF_PERITO"), "[^0-9]", ""))
+    named = [("PROMOVENTE", "institutional_in_party"), ("PROMOVIDO", "institutional_in_party"), ("PERITO", "institutional_in_name")]
+    flags = [F.when((n > 0) & (n != 11), "CPF_PERITO:cpf_invalid")] + [F.when(F.lower(remove_diacritics(get(k))).rlike(institutions), f"{k}:{code}") for k, code in named]
+    return F.array_compact(F.array(*flags))

@@ -118,3 +118,39 @@ def page_windows(hits: DataFrame, group: str, page: str, last_page: str, sizes:
     """Candidate windows from each hit: group, first, last; clipped at the last page, each once."""
     wide = hits.select(group, F.col(page).alias("first"), F.explode(F.array(*(F.least(F.col(page) + n, F.col(last_page)) for n in sizes))).alias("last"))
     return wide.distinct()
+
+
+def spaced_by_quantile(words: DataFrame, line: list[str], x0: str, x1: str, text: str, share: float = 0.9, least: float = 0.0) -> DataFrame:
+    """Pieces of a line joined, with a blank where the gap to the piece before is over the line's own quantile of gaps, and over ``least``."""
+    w = W.partitionBy(*line).orderBy(x0)
+    gapped = words.withColumn("_gap", F.col(x0) - F.lag(x1).over(w))
+    ranked = gapped.where("_gap is not null").withColumn("_n", F.count("*").over(W.partitionBy(*line))).withColumn("_i", F.row_number().over(W.partitionBy(*line).orderBy("_gap")) - 1)
+    cut = ranked.where(F.col("_i") == F.floor(F.lit(share) * (F.col("_n") - 1))).select(*line, F.greatest(F.col("_gap"), F.lit(least)).alias("_cut"))
+    made = gapped.join(cut, line, "left").withColumn("_piece", F.struct(F.col(x0).alias("x"), F.concat(F.when(F.col("_gap") > F.col("_cut"), " ").otherwise(""), F.col(text)).alias("t")))
+    return made.groupBy(*line).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda s: s["t"]), "").alias("text"))
+
+
+def blocks_by_position(ops: DataFrame, group: str, order: str, op: str, value: str, tolerance: float) -> DataFrame:
+    """Adds ``block``: operators counted into blocks, a new one at BT, ET and T*, and where Tm or Td moves the line by over ``tolerance``.
+
+    Tm sets the height, Td and TD add to it, BT and T* forget it: heights are running sums
+    behind the last operator that set or forgot one.
+    """
+    w = W.partitionBy(group).orderBy(order)
+    name, y = F.col(op), F.col(value).cast("double")
+    fresh = name.isin("BT", "T*") | ((name == "Tm") & y.isNotNull())
+    moved = F.when((name == "Tm") | name.isin("Td", "TD"), y)
+    spans = ops.withColumn("_span", F.sum(fresh.cast("int")).over(w)).withColumn("_moved", moved)
+    inside = W.partitionBy(group, "_span").orderBy(order)
+    summed = spans.withColumn("_sum", F.sum("_moved").over(inside)).withColumn("_some", F.count("_moved").over(inside))
+    height = F.when(F.col("_some") > 0, F.col("_sum"))
+    before = F.lag(height).over(w)
+    known = F.when(F.lag(F.col("_some")).over(w) > 0, before)
+    jump = F.col("_moved").isNotNull() & known.isNotNull() & (F.abs(height - known) > tolerance)
+    flush = name.isin("BT", "ET", "T*") | F.coalesce(jump, F.lit(False))
+    return summed.withColumn("block", F.sum(flush.cast("int")).over(w)).drop("_span", "_moved", "_sum", "_some")
+
+
+def operators_only(ops: DataFrame, op: str, allowed: list[str]) -> DataFrame:
+    """Operators of a short list; an empty list keeps all."""
+    return ops.where(F.col(op).isin(*allowed)) if allowed else ops

@@ -115,3 +115,19 @@ def probe_summary(probes: DataFrame, group: str, method: str) -> DataFrame:
 def page_averages(pages: DataFrame, keys: list[str], averages: dict[str, Column], sums: dict[str, Column], digits: int = 4) -> DataFrame:
     """Per key: pages, averages of the page values (rounded), and sums."""
     return pages.groupBy(*keys).agg(F.count("*").alias("pages"), *(F.round(F.avg(c), digits).alias(n) for n, c in averages.items()), *(F.sum(c).alias(n) for n, c in sums.items()))
+
+
+def union_box(words: DataFrame, keys: list[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """Per key the box around all boxes."""
+    return words.groupBy(*keys).agg(F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1"))
+
+
+def page_density(words: DataFrame, keys: list[str], area: Column, page_area: Column) -> DataFrame:
+    """Per key the share of the page that words cover; a page has an area of 1 at least."""
+    return words.groupBy(*keys).agg((F.sum(area) / F.greatest(F.lit(1.0), F.max(page_area))).alias("density"))
+
+
+def accuracy(files: DataFrame, checked: str, found: str, least: float = 0.95) -> DataFrame:
+    """One row: the share found over all and on average, how many files reach ``least``, and files."""
+    share = F.col(found) / F.col(checked)
+    return files.agg((F.sum(found) / F.sum(checked)).alias("weighted"), F.avg(share).alias("mean"), F.count_if(share >= least).alias("passed"), F.count("*").alias("files"))

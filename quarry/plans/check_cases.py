@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import checks, scores, sinks
+from quarry.operators import checks, documents, ordered, scores, sinks
 from quarry.plans.cases import case_rows, cases
 from quarry.plans.record_queries import _lines, LINES, counted, expected
 from quarry.plans.registry import query
@@ -135,3 +135,51 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", (F.col("o_orderkey") % 50).alias("words"))
     return scores.page_averages(pages, ["o_custkey"], {"density": F.col("o_totalprice")}, {"words": F.col("words")})
+
+
+cases("similarity_texts", documents.similarity_text, [("<Vara>", "vara"), ("[ANC_PROCESSO_JUDICIAL]", "processo judicial"), ("Vara 12  da Capital", "vara ## da capital"), ("Perito", "perito"), ("ANC x", "anc x"), (None, "")])
+cases("record_issue_lists", lambda c: F.array_join(documents.record_issues(F.from_json(c, "map<string,string>"), r"\b(banco|tribunal)\b"), ","), [
+    ('{"CPF_PERITO":"123"}', "CPF_PERITO:cpf_invalid"), ('{"CPF_PERITO":"529.982.247-25","PERITO":"Banco X"}', "PERITO:institutional_in_name"), ('{"PROMOVENTE":"TRIBUNAL","PROMOVIDO":"Ana"}', "PROMOVENTE:institutional_in_party"), ("{}", ""),
+])
+
+
+@query(f"""
+    WITH h AS (SELECT DISTINCT l_orderkey, l_linenumber AS p FROM {LINES} WHERE l_shipmode IN ('AIR', 'FOB')), n AS (SELECT *, lead(p) OVER (PARTITION BY l_orderkey ORDER BY p) = p + 1 AS x FROM h)
+    SELECT l_orderkey, count(*) AS hits, array_to_string(list(p ORDER BY p), ',') AS pages, coalesce(min(p) FILTER (x), min(p))::INTEGER AS first, coalesce(min(p) FILTER (x) + 1, min(p))::INTEGER AS last FROM n GROUP BY 1""")
+def found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents.find_pages(_lines(spark, sf_dir), "l_orderkey", "l_linenumber", "l_shipmode", "^(AIR|FOB)$")
+    return found.select("l_orderkey", "hits", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_shipmode WHEN 'AIR' THEN 2 ELSE 1 END DESC, l_quantity DESC, l_linenumber) AS n FROM {LINES} WHERE l_shipmode <> 'RAIL') WHERE n = 1")
+def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.when(F.col("l_shipmode") == "AIR", 2).when(F.col("l_shipmode") == "RAIL", 0).otherwise(1)
+    return documents.select_page(_lines(spark, sf_dir), "l_orderkey", "l_linenumber", score, "l_quantity").select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_shipmode, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_shipmode ORDER BY l_quantity DESC, l_linenumber) AS n FROM {LINES} WHERE l_shipmode <> 'RAIL') WHERE n = 1")
+def best_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumn("l_shipmode", F.when(F.col("l_shipmode") == "RAIL", "UNKNOWN").otherwise(F.col("l_shipmode")))
+    return documents.best_per_kind(lines, "l_orderkey", "l_shipmode", "l_quantity", "l_linenumber").select("l_orderkey", "l_shipmode", "l_linenumber")
+
+
+_OPS = "BT|,Tm|10,Tj|,Td|0,Tj|,Td|-5,Tj|,T*|,Tm|20,Td|1,Tm|40,ET|"
+
+
+@query("SELECT v.ord, v.block, (SELECT count(*) FROM customer) AS n FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3), (9, 3), (10, 4), (11, 5)) v(ord, block)")
+def position_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = case_rows(spark, sf_dir, [_OPS]).select("c_custkey", F.posexplode(F.split("x", ",")).alias("ord", "o")).select("c_custkey", "ord", F.substring_index("o", "|", 1).alias("op"), F.substring_index("o", "|", -1).try_cast("double").alias("y"))
+    return ordered.blocks_by_position(ordered.operators_only(ops, "op", ["BT", "ET", "Tm", "Td", "Tj", "T*"]), "c_custkey", "ord", "op", "y", 2.0).groupBy("ord", "block").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH s AS (SELECT l_orderkey, l_partkey AS x0, l_partkey + l_quantity AS x1, chr(65 + l_linenumber::INTEGER) AS t FROM {LINES} QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) = 1),
+    g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY l_orderkey ORDER BY x0) AS gap FROM s),
+    c AS (SELECT l_orderkey, greatest(list_extract(list_sort(list(gap)), (floor(0.9 * (count(*) - 1)) + 1)::INTEGER), 0) AS cut FROM g WHERE gap IS NOT NULL GROUP BY 1)
+    SELECT l_orderkey, string_agg(CASE WHEN gap > cut THEN ' ' ELSE '' END || t, '' ORDER BY x0) AS text FROM g LEFT JOIN c USING (l_orderkey) GROUP BY 1""")
+def quantile_spaced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    pieces = _lines(spark, sf_dir).withColumn("k", F.count("*").over(W.partitionBy("l_orderkey", "l_partkey"))).where("k = 1")
+    pieces = pieces.select("l_orderkey", F.col("l_partkey").alias("x0"), (F.col("l_partkey") + F.col("l_quantity")).alias("x1"), F.char(65 + F.col("l_linenumber")).alias("t"))
+    return ordered.spaced_by_quantile(pieces, ["l_orderkey"], "x0", "x1", "t")

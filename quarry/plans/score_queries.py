@@ -125,12 +125,12 @@ def probe_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT l_orderkey, count(*) AS checked, count(*) FILTER (l_returnflag <> 'R') AS found FROM lineitem GROUP BY 1)""")
 def accuracy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("checked"), F.count_if(F.col("l_returnflag") != "R").alias("found"))
-    share = F.col("found") / F.col("checked")
-    return files.agg(F.round(F.sum("found") / F.sum("checked"), 6).alias("weighted"), F.round(F.avg(share), 6).alias("mean"), F.count_if(share >= 0.95).alias("passed"), F.count("*").alias("files"))
+    return scores.accuracy(files, "checked", "found").withColumns({c: F.round(c, 6) for c in ("weighted", "mean")})
 
 
 @query("SELECT user_id, min(value) AS x0, max(value) AS x1, min(event_id) AS y0, max(event_id) AS y1, round(sum(value * 2) / greatest(1, max(value) * 10), 6) AS density FROM events GROUP BY 1")
 def union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("event_id").alias("y0"), F.max("event_id").alias("y1"), F.round(F.sum(F.col("value") * 2) / F.greatest(F.lit(1), F.max("value") * 10), 6).alias("density")
-    )
+    events = table(spark, sf_dir, "events")
+    boxes = scores.union_box(events, ["user_id"], "value", "event_id", "value", "event_id")
+    dense = scores.page_density(events, ["user_id"], F.col("value") * 2, F.col("value") * 10)
+    return boxes.join(dense, "user_id").withColumn("density", F.round("density", 6))
