@@ -64,6 +64,8 @@ def fee_matches(rows: DataFrame, key: str, fees: DataFrame, tolerance: float = T
 
     asked = rows.select(key, "field", "alias", "area", F.explode(unit_values(F.col("value"), F.col("percent"), F.col("parts"))).alias("u")).select(key, "field", "alias", "area", "u.way", F.col("u.value").alias("value"))
     asked = asked.withColumn("_id", F.concat_ws("|", F.col(key).cast("string"), "field", "way"))
+    # Spark takes the many rows that explode() makes for as few as it is given, and would broadcast them.
+    fees = F.broadcast(fees)
     found = []
     for n, (source, sure) in enumerate(SOURCES.items()):
         on = {"alias": ("alias", "id"), "area": ("area", "area")}.get(source)
@@ -76,7 +78,7 @@ def fee_matches(rows: DataFrame, key: str, fees: DataFrame, tolerance: float = T
         found.append(met.withColumn("n", F.lit(n)).withColumn("source", F.lit(source)).withColumn("confidence", F.lit(sure)))
     every = found[0].unionByName(found[1]).unionByName(found[2])
     first = every.groupBy("_id").agg(F.min(F.struct("n", "entry", "fee", "source", "confidence")).alias("m"))
-    joined = asked.join(first, "_id").select(key, "field", "way", "value", "m.*")
+    joined = asked.join(first.hint("merge"), "_id").select(key, "field", "way", "value", "m.*")
     difference = F.abs(F.col("fee") - F.col("value")) / F.col("value")
     scored = joined.withColumn("difference", difference.cast("double")).withColumn("_s", match_score(F.col("confidence"), F.col("difference"), F.col("way")))
     order = F.when(F.col("way").startswith("multiple_"), F.regexp_extract("way", r"\d+", 0).cast("int") + 10).otherwise(F.array_position(F.array(*(F.lit(w) for w in PENALTIES)), F.col("way")))

@@ -41,7 +41,8 @@ def nearest_value(rows: DataFrame, key: str, value: str, entries: DataFrame, ent
     off = F.abs(F.col("_v") - F.col("_x"))
     met = asked.join(near, "_b").where(off <= F.col("_x") * F.lit(tolerance))
     best = met.groupBy("_k").agg(F.min(F.struct(off.alias("off"), "_o", "_e")).alias("m")).select("_k", "m._e.*")
-    return rows.join(best, rows[key] == best["_k"], "left").drop("_k")
+    # Neither side may be small: Spark misjudges rows that explode() made, and would gather them in the driver.
+    return rows.join(best.hint("merge"), rows[key] == best["_k"], "left").drop("_k")
 
 
 def contains_match(rows: DataFrame, key: str, text: Column, keywords: DataFrame, most_listed: int = 1000) -> DataFrame:

@@ -204,3 +204,15 @@ def test_cut_short_swap(spark, tmp_path):
     os.rename(path, f"{path}.old")  # and one between the two moves
     sinks.merge_into(df([(4, 1, "d")]), path, ["k"], "t")
     assert rows(spark.read.parquet(path)) == [(3, 1, "c"), (4, 1, "d")]
+
+
+def test_fee_matches_broadcasts_fees_only(spark, tmp_path):
+    """Rows that explode() multiplies look few to Spark; the driver must not gather them."""
+    from quarry.operators.enrich import fee_matches
+
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("V").alias("field"), F.lit(310).cast("decimal(18,2)").alias("value"), F.lit(None).cast("double").alias("percent"), F.lit(None).cast("int").alias("parts"), F.lit("x").alias("alias"), F.lit("A").alias("area"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    fees = spark.createDataFrame([("1.1", "A", 300.0, 0), ("9", "B", 40.0, 1)], "id string, area string, fee double, ord int").withColumn("fee", F.col("fee").cast("decimal(24,8)"))
+    found = fee_matches(spark.read.parquet(f"{tmp_path}/rows"), "k", fees)
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.entry, r.way, r.source) for r in found.collect()} == {("1.1", "raw", "area")} and found.count() == 2000
