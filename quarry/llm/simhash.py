@@ -171,16 +171,17 @@ def under_keys(prints: DataFrame, keys: list[np.ndarray], bits: int) -> DataFram
     return map_batches(prints.select("rep", "fp", *extra), run, "key long, rep long, fp binary" + ", payload string" * bool(extra))
 
 
-def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], object] | None = None, verify: Callable[[object, object], bool] | None = None, chunk: int | None = None) -> DataFrame:
+def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], object] | None = None, verify: Callable[[object, object], bool] | None = None, chunk: int | None = None, link: Callable[[np.ndarray, pa.Table], np.ndarray] | None = None) -> DataFrame:
     """(a, b): links between rows (key, rep long, fp binary) that meet under a key and differ in at most
     ``radius`` bits; enough of them to connect what all such links connect.
 
     With ``verify``, rows also have a ``payload`` string, and a link needs it to be true of
-    what ``prepare`` makes of both payloads. ``keyed`` is read twice. Keys with over
-    ``chunk`` rows are cut.
+    what ``prepare`` makes of both payloads. ``link`` takes the place of all that: it gets the rows
+    with their ``payload`` and the number of each row's group, and returns what ``link_block`` does.
+    ``keyed`` is read twice. Keys with over ``chunk`` rows are cut.
     """
     chunk = chunk or CHUNK
-    extra = ["payload"] if verify else []
+    extra = ["payload"] if verify or link else []
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -191,14 +192,17 @@ def links(keyed: DataFrame, bits: int, radius: int, prepare: Callable[[str], obj
             for c in columns:
                 new[1:] |= c[1:] != c[:-1]
             rep = table.column("rep").to_numpy()
-            values, made = table.column("payload") if verify else None, {}
+            values, made = table.column("payload") if extra else None, {}
 
             def value(i: int) -> object:
                 if i not in made:
                     made[i] = prepare(values[i].as_py())
                 return made[i]
 
-            root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius, verify and (lambda i, j: verify(value(i), value(j))))
+            if link:
+                root = link(np.cumsum(new), table)
+            else:
+                root = link_block(np.cumsum(new), _bit_rows(table.column("fp"), bits), radius, verify and (lambda i, j: verify(value(i), value(j))))
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], names=["a", "b"])
 

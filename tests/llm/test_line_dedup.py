@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm.line_dedup import drop_lines, edit_similar, line_prints, normalised
+from quarry.llm.line_dedup import distances, drop_lines, edit_similar, line_prints, normalised
 
 
 def distance(a, b):
@@ -138,3 +138,27 @@ def test_short_and_unspaced_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in drop_lines(docs).collect()}
     assert got == {1: rows[0][1], 2: "", 3: "nothing alike", 4: "---\n---"}
+
+
+def test_distances():
+    random.seed(3)
+    for _ in range(200):
+        a, *others = ("".join(random.choices("abé ", k=random.randint(0, 30))) for _ in range(7))
+        assert distances(a, others) == [distance(a, b) for b in others]
+
+
+def test_every_pair_that_shares_enough_runs_is_found(spark):
+    """Changes spread over the line leave no half and few runs whole; every such pair is found, not most."""
+    random.seed(8)
+    vocabulary = ["".join(random.choices("abcdefghijklmnop", k=random.randint(4, 9))) for _ in range(2000)]
+    rows = []
+    for size in (8, 10, 20, 30, 60):
+        for _ in range(20):
+            line = random.choices(vocabulary, k=size)
+            other = list(line)
+            for at in range(2, size, 4 if size < 10 else 5):
+                other[at] = line[at][:-2] + random.choice("xyz") + random.choice("xyz")
+            assert edit_similar(" ".join(line), " ".join(other))
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    left = {r.doc_id for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
+    assert left == set(range(0, len(rows), 2))
