@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quarry.llm import line_dedup
 from quarry.llm.line_dedup import distances, drop_lines, edit_similar, line_prints, normalised
 
 
@@ -162,3 +163,57 @@ def test_every_pair_that_shares_enough_runs_is_found(spark):
             rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
     left = {r.doc_id for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
     assert left == set(range(0, len(rows), 2))
+
+
+def test_counted_runs_are_written_in_few_bytes():
+    """What is dealt out to count the runs comes back whole, in under 6 bytes a key instead of 8."""
+    levels = line_dedup.Levels(900_000_000)
+    random.seed(1)
+    keys = np.array([random.getrandbits(64) for _ in range(1 << 18)], np.uint64)
+    values = np.sort(levels.values(np.concatenate([keys, keys[:5]]), np.arange(len(keys) + 5, dtype=np.uint64)))
+    used, written = levels.deal(values)
+    own = (1 << levels.inner_bits + line_dedup.LINE_HASH) - 1
+    assert sum(map(len, written)) < 6 * len(values)
+    back = [int(v) | int(b) << levels.inner_bits + line_dedup.LINE_HASH for b, w in zip(used, written) for v in levels.read(w)]
+    assert back == values.tolist() and all(int(v) <= own for v in levels.read(written[0]))
+    few = levels.deal(values[:3])
+    assert [int(v) for w in few[1] for v in levels.read(w)] == [int(v) & own for v in values[:3]]
+
+
+def test_bounds_lose_no_pair_and_spare_distances(monkeypatch):
+    """Against edit similarity alone; unlike lines of one star get next to no distance in full."""
+    random.seed(5)
+    words = ["".join(random.choices("abcdeé", k=random.randint(1, 7))) for _ in range(60)]
+    lines = [" ".join(random.choices(words, k=random.randint(1, 60))) for _ in range(120)]
+    for line in lines[:80]:
+        new = list(line)
+        for _ in range(random.randint(0, len(line) // 4)):
+            at = random.randrange(len(new) + 1)
+            new[at : at + random.randint(0, 1)] = random.choices("abé ", k=random.randint(0, 1))
+        lines.append("".join(new))
+    calls = []
+    true_similar, true_distances = line_dedup.edit_similar, line_dedup.distances
+    monkeypatch.setattr(line_dedup, "edit_similar", lambda a, b, s: calls.append(1) or true_similar(a, b, s))
+    monkeypatch.setattr(line_dedup, "distances", lambda a, b: calls.extend(b) or true_distances(a, b))
+    got = line_dedup.link_lines(np.zeros(len(lines), np.int64), [bytes(16)] * len(lines), lines, 0.8)
+    group = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if group[a] != group[b] and true_similar(lines[a], lines[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert got.tolist() == group
+    assert len(calls) < 0.02 * len(lines) * (len(lines) - 1) / 2
+
+
+def test_lines_of_far_lengths_are_not_held_against_each_other(spark, monkeypatch):
+    """Lines that share a run, each over a quarter longer than the one before: no text is fetched for them."""
+    seen = []
+    true_links = line_dedup.verified_links
+    monkeypatch.setattr(line_dedup, "verified_links", lambda cells, similarity: seen.append(cells.count()) or true_links(cells, similarity))
+    random.seed(9)
+    other = ["".join(random.choices("abcdefghijklmnop", k=8)) for _ in range(400)]
+    rows = [(i, "shared opening words here " + " ".join(other[40 * i : 40 * i + 3 * 2**i])) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in drop_lines(docs).collect()} == dict(rows)
+    assert seen == [0]
