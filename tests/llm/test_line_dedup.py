@@ -217,3 +217,59 @@ def test_lines_of_far_lengths_are_not_held_against_each_other(spark, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in drop_lines(docs).collect()} == dict(rows)
     assert seen == [0]
+
+
+def test_one_rare_run_in_common_is_no_reason_to_fetch_two_lines(spark, monkeypatch):
+    """Unlike lines of equal length that share a run of three words with the next: no text is fetched. Copies beside them still meet."""
+    seen = []
+    true_links = line_dedup.verified_links
+    monkeypatch.setattr(line_dedup, "verified_links", lambda cells, similarity: seen.append(cells.count()) or true_links(cells, similarity))
+    random.seed(10)
+    words = ["".join(random.choices("abcdefghijklmnop", k=8)) for _ in range(1000)]
+    lines = [words[30 * i : 30 * i + 33] for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    assert drop_lines(docs).where("_n_dropped > 0").count() == 0 and seen == [0]
+    near = [(100 + i, " ".join([*line[:20], "other", *line[21:]])) for i, line in enumerate(lines)]
+    out = drop_lines(docs.union(spark.createDataFrame(near, docs.schema)))
+    assert {r.doc_id for r in out.collect() if r.text} == set(range(30)) and seen[1] == 60
+
+
+def test_pairs_of_rare_runs(spark):
+    """Against all pairs, over keys of one row to thousands: those whose lengths allow the similarity, each one once."""
+    random.seed(11)
+    rows = [(key, 10_000 * key + i, random.randint(5, 400), random.randint(0, 1)) for key in range(-30, 30) for i in range(random.choice([1, 2, 3, 8, 70]))]
+    rows += [(99, i, 10 * 4**i, 0) for i in range(5)]
+    got = line_dedup.few_pairs(spark.createDataFrame(rows, "key long, rep long, size int, alone int"), 0.8).collect()
+    allowed = lambda a, b: abs(a - b) <= int((1 - 0.8) * max(a, b) + 1e-9)
+    want = [(max(x[1], y[1]), min(x[1], y[1]), x[3] | y[3]) for n, x in enumerate(rows) for y in rows[:n] if x[0] == y[0] and allowed(x[2], y[2])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_fewer_stars_hold_all_pairs(spark):
+    """Every pair is in a star of what is left, and rows that stand for pairs with other lines stay."""
+    from quarry.storage import Scratch
+
+    random.seed(12)
+    groups = [random.sample(range(300), random.randint(2, 9)) for _ in range(60)]
+    pairs = {(max(x, y), min(x, y)): False for g in groups for x in g for y in g if x != y}
+    pairs |= {(x, min(g)): True for g in groups[:20] for x in g if x != min(g)}
+    left = {tuple(r) for r in line_dedup.fewer_stars(spark.createDataFrame([(*p, s) for p, s in pairs.items()], "a long, b long, star boolean"), Scratch(spark, "stars")).collect()}
+    star = {}
+    for a, b in left:
+        star.setdefault(b, {b}).add(a)
+    assert left <= set(pairs) and len(left) < len(pairs)
+    assert all(p in left for p, stays in pairs.items() if stays)
+    assert all(any({a, b} <= s for s in star.values()) for a, b in pairs)
+
+
+def test_how_a_key_makes_lines_meet():
+    """Runs of three of level 1 give pairs, alone only in lines that need not share two or that hold the run twice; one key more then."""
+    long, short, twice = (b" ".join(b"w%d" % i for i in part) for part in (range(40), range(5), [*range(50, 70), 50, 51, 52]))
+    row, key, kind = line_dedup.line_keys(*line_dedup._hashed([long, short, twice]))
+    rows, keys, how = line_dedup.rare_first(row, key, kind, np.ones(len(key), int))
+    assert set(how[rows == 0]) == {2} and (rows == 0).sum() == 38 - 10 + 2  # two among the first n - t + 2
+    assert set(how[(rows == 1)]) == {0, 1}
+    repeated = key[row == 2][kind[row == 2] == 2]
+    again = {int(k) >> 1 for k in repeated if (repeated == k).sum() > 1}
+    assert len(again) == 1 and all(how[i] == (1 if int(keys[i]) in again else 2) for i in np.flatnonzero(rows == 2))
+    assert set(line_dedup.rare_first(row, key, kind, np.full(len(key), 2))[2]) == {0}
