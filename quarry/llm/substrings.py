@@ -9,7 +9,7 @@ document has goes as a whole, so that copies cost one row a phrase and no more.
 The dictionary: what is left are phrases at their smallest document, and those that differ
 somewhere. Their suffixes are sorted in buckets: every string belongs to the bucket of the
 least gram hash in it, so equal strings meet in one. Buckets whose hash stands in one phrase
-only are left out beforehand, by a bit set of fixed size that never misses a shared one. In a
+only are left out beforehand, by a bit set of bounded size that never misses a shared one. In a
 bucket the suffixes, cut at the string's length, are sorted, and equal ones take the smallest
 document that the parse has for any of them. That is the corpus order as far as it is needed:
 suffixes that agree on a whole string are equal here, so the order of the parse itself beyond
@@ -34,8 +34,8 @@ from quarry.storage import Scratch, join_groups, key_filter, may_be_in
 PHRASE = 128
 #: Long enough that texts seldom share a gram by chance, short enough for few triggers.
 GRAM = 28
-#: Bits of the set of shared triggers: 16 MB, whatever the corpus.
-SIEVE_BITS = 27
+#: Bits of the sets of triggers: 16 MB, and up to 64 MB for over 2 GB of text that is left after whole phrases.
+SIEVE_BITS = (27, 29)
 #: Bytes of text whose triggers one bucket of the sieve holds, about.
 BUCKET_BYTES = 8 << 20
 #: Bytes of a trigger's hash that the sieve is made from.
@@ -134,8 +134,13 @@ class Seen:
         return out
 
 
-def _in_sieve(sieve: np.ndarray, hashes: np.ndarray, shift: np.uint64, bits: int) -> np.ndarray:
-    bit = ((hashes >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)
+def sieve_bits(text_bytes: int) -> int:
+    """Bits of the sets of triggers for so much text; a set that is too full misses nothing and lets more through."""
+    return min(max((text_bytes // 8).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+
+
+def _in_sieve(sieve: np.ndarray, hashes: np.ndarray, shift: np.uint64, bits: int, all_bits: int) -> np.ndarray:
+    bit = ((hashes >> np.uint64(64 - all_bits)) % np.uint64(bits)).astype(np.int64)
     return sieve[(hashes >> shift).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
 
 
@@ -206,6 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = long_rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(6, int(total // BUCKET_BYTES).bit_length())
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    all_bits = sieve_bits(total)
 
     def count_triggers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, starts, row_of, _ in cut(batches, length):
@@ -219,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             short = both.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([short[bounds[b] : bounds[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "hashes"])
 
-    bits = (1 << SIEVE_BITS) // buckets
+    bits = (1 << all_bits) // buckets
 
     def share(table: pa.Table) -> pa.Table:
         short = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, SHORT)
@@ -229,20 +235,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hashes.sort()
         again = hashes[1:][hashes[1:] == hashes[:-1]]
         flags = np.zeros(max(8, bits), bool)
-        flags[((again >> np.uint64(64 - SIEVE_BITS)) % np.uint64(bits)).astype(np.int64)] = True
+        flags[((again >> np.uint64(64 - all_bits)) % np.uint64(bits)).astype(np.int64)] = True
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     counted = map_batches(long_rows.select("text"), count_triggers, "bucket long, hashes binary")
     sieve = np.zeros((buckets, max(8, bits) // 8), np.uint8)
-    for r in counted.groupBy("bucket").applyInArrow(share, "bucket long, flags binary").toLocalIterator():  # SIEVE_BITS in all
+    for r in counted.groupBy("bucket").applyInArrow(share, "bucket long, flags binary").toLocalIterator():  # all_bits in all
         sieve[r.bucket] = np.frombuffer(r.flags, np.uint8)
     shared = spark.sparkContext.broadcast(sieve)
+    del sieve
 
     def parse_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, may = Seen(), shared.value
         for data, starts, row_of, place in cut(seen.watch(batches), length):
             h, first, last = phrases_of(data, starts, length)
-            keep = np.flatnonzero(_in_sieve(may, h, shift, bits))
+            keep = np.flatnonzero(_in_sieve(may, h, shift, bits, all_bits))
             if len(keep):
                 whole = data.tobytes()
                 names = np.array([xxhash.xxh3_64_intdigest(whole[a : b + length]) for a, b in zip(first[keep].tolist(), last[keep].tolist())], np.uint64)
@@ -257,18 +264,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Only triggers of several phrases need the phrases themselves: a second sieve, and a second pass.
     several = scratch.keep(dictionary.groupBy("trigger").agg(F.count("*").alias("k")).where("k > 1"), "several")
-    place = F.call_function("shiftrightunsigned", F.col("trigger"), F.lit(64 - SIEVE_BITS))
+    place = F.call_function("shiftrightunsigned", F.col("trigger"), F.lit(64 - all_bits))
     slots = several.groupBy((place / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("b"))
-    second = np.zeros(1 << SIEVE_BITS - 6, np.int64)
-    for r in slots.toLocalIterator():  # SIEVE_BITS in all
+    shared.unpersist()
+    second = np.zeros(1 << all_bits - 6, np.int64)
+    for r in slots.toLocalIterator():  # all_bits in all
         second[r.w] = r.b
     again = spark.sparkContext.broadcast(second.view(np.uint8))
+    del second
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = again.value
         for data, starts, _, _ in cut(batches, length):
             h, first, last = phrases_of(data, starts, length)
-            bit = (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+            bit = (h >> np.uint64(64 - all_bits)).astype(np.int64)
             keep = np.flatnonzero(may[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             if len(keep):
                 whole = data.tobytes()

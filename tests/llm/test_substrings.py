@@ -73,3 +73,17 @@ def test_refused_input(spark):
         remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=92)
     with pytest.raises(TypeError, match="integer id"):
         remove_repeats(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_the_sieve_grows_with_the_text():
+    """A set that is right for a small corpus is half full at 6 GB; it grows to a bound instead."""
+    assert [substrings.sieve_bits(n) for n in (0, 1 << 29, 2_500_000_000, 6 << 30, 30 << 30)] == [27, 27, 29, 29, 29]
+
+
+@pytest.mark.parametrize("bits", [(12, 12), (28, 28)])
+def test_the_size_of_the_sieve_changes_no_result(spark, monkeypatch, bits):
+    monkeypatch.setattr(substrings, "SIEVE_BITS", bits)
+    rows = case()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect())
+    assert got == brute(rows)
