@@ -273,3 +273,62 @@ def test_how_a_key_makes_lines_meet():
     again = {int(k) >> 1 for k in repeated if (repeated == k).sum() > 1}
     assert len(again) == 1 and all(how[i] == (1 if int(keys[i]) in again else 2) for i in np.flatnonzero(rows == 2))
     assert set(line_dedup.rare_first(row, key, kind, np.full(len(key), 2))[2]) == {0}
+
+
+def test_distances_and_bounds_of_many_pairs():
+    """Pairs of lines of up to many words of bits: what is allowed is exact, what is not is beyond, and a bound is never above."""
+    random.seed(13)
+    lines = []
+    while len(lines) < 400:
+        a = random.choices("abcdé  ", k=random.choice([1, 5, 63, 64, 65, 128, 130, 200, 500]))
+        b = list(a)
+        for _ in range(random.randint(0, max(1, len(a) // 4))):
+            at = random.randint(0, len(b))
+            b[at : at + random.randint(0, 3)] = random.choices("abé ", k=random.randint(0, 3))
+        a, b = sorted(("".join(a), "".join(b)), key=len)
+        if a and len(b) - len(a) <= int(0.2 * len(b) + 1e-9):
+            lines += [a, b]
+    parts, a, b = line_dedup.Parts(lines), np.arange(0, len(lines), 2), np.arange(1, len(lines), 2)
+    allowed = np.array([int(0.2 * len(lines[i]) + 1e-9) for i in b])
+    true = np.array([distances(lines[i], [lines[j]])[0] for i, j in zip(a, b)])
+    got, (bound, sure) = parts.distances(a, b, allowed), parts.bounds(a, b, allowed)
+    near = true <= allowed
+    assert 50 < near.sum() < 190
+    assert (got[near] == true[near]).all() and (got[~near] > allowed[~near]).all()
+    assert (bound[near] <= true[near]).all() and (bound[sure] == true[sure]).all() and sure.sum() > 50
+
+
+def test_large_alphabets_are_verified_by_edit_similarity_alone():
+    """With more kinds of characters than are told apart, bounds let more through, and no unlike pair is linked."""
+    lines = ["".join(chr(0x4E00 + 40 * i + k) for k in range(40)) for i in range(30)]
+    lines += [line[:20] + "x" + line[21:] for line in lines[:10]] + ["y" * 300 + lines[0] * 3, "y" * 300 + lines[1] * 3]
+    assert not line_dedup.Parts(lines).exact
+    got = line_dedup.link_lines(np.zeros(len(lines), np.int64), [bytes(16)] * len(lines), lines, 0.8)
+    want = list(range(len(lines)))
+    want[30:40] = range(10)
+    assert got.tolist() == want
+
+
+def test_unlike_lines_of_a_large_star_need_few_distances_one_by_one(monkeypatch):
+    """Copies of one line, each with its own sixth of other words: too far from each other to be linked, too near for the
+    bounds alone. Their distances are worked out together."""
+    random.seed(14)
+    words = ["".join(random.choices("abcdefgh", k=random.randint(3, 8))) for _ in range(400)]
+    base, lines = random.choices(words, k=70), []
+    for _ in range(40):
+        line = list(base)
+        for at in random.sample(range(70), 14):
+            line[at] = random.choice(words)
+        lines.append(" ".join(line))
+    calls = []
+    true_similar = line_dedup.edit_similar
+    monkeypatch.setattr(line_dedup, "edit_similar", lambda a, b, s: calls.append(1) or true_similar(a, b, s))
+    monkeypatch.setattr(line_dedup, "distances", lambda a, b: calls.extend(b) or [0] * len(b))
+    got = line_dedup.link_lines(np.zeros(len(lines), np.int64), [bytes(8) + bytes([255 * (i % 2)] * 8) for i in range(len(lines))], lines, 0.8)
+    group = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if group[a] != group[b] and true_similar(lines[a], lines[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert got.tolist() == group and not calls
